@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources import table
-from . import canonical, consensus, distinctive, frequency, mixing, neardup, repetition, tokens
+from . import canonical, consensus, distinctive, frequency, mixing, neardup, repetition, sameitem, tokens
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "p2_found": lambda s, d: distinctive.rare_repeated_terms(table(s, d, "catalog")).select("listing_id", "term"),
         "p3_found": lambda s, d: canonical.mapped_listings(table(s, d, "catalog"), table(s, d, "ref_values")),
         "p5_found": lambda s, d: consensus.leaders(table(s, d, "candidates"), table(s, d, "catalog")),
+        "p6_found": lambda s, d: sameitem.same_item_pairs(table(s, d, "catalog"), table(s, d, "ref_values")),
         "p7_found": lambda s, d: neardup.near_duplicate_listings(table(s, d, "catalog")),
         "p8_ids": lambda s, d: tokens.encode_documents(table(s, d, "documents")),
         "p9_found": lambda s, d: mixing.unreachable_sources(table(s, d, "documents"), table(s, d, "mix_targets")),
