@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from ..operators import nested
 from ..sources import table
+from . import ranking, retrieval
+
+_PARTS = [retrieval, ranking]
 
 
 def queries() -> dict:
-    return {
-        "p4_found": lambda s, d: nested.list_elements(table(s, d, "raw_records")),
-    }
+    out = {"p4_found": lambda s, d: nested.list_elements(table(s, d, "raw_records"))}
+    for part in _PARTS:
+        out |= part.QUERIES
+    return out
 
 
 def oracle_sql() -> dict:
-    return {}
+    out = {}
+    for part in _PARTS:
+        out |= part.ORACLE
+    return out
