@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 
 def difference_vectors(ranks: DataFrame, labels: DataFrame, winners: int = 3) -> DataFrame:
     """(session_id, turn, winner, d): the target's vector less the vector of each item ranked above it."""
@@ -53,7 +55,7 @@ def positional_join(left: DataFrame, right: DataFrame, left_order: list, right_o
 
 def with_position(df: DataFrame, order: list) -> DataFrame:
     """Adds position, 0-based, in the given order."""
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    ranged = stage(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranged")  # partition numbers must not change between uses
     inside = ranged.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     sizes = inside.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).drop("__n")  # a row per partition

@@ -11,9 +11,10 @@ from ..functions.lexicons import (
 )
 from ..functions.text import tokens
 from ..operators import catalog as cat
-from ..operators import dialogue, evaluate, ranking
+from ..operators import dialogue, evaluate, learn, ranking
 from ..session import stage
 from ..sources import table
+from ..streaming import conversations
 from . import sql
 
 LIST = ["session_id", "turn"]
@@ -209,10 +210,32 @@ def stratified_halves(s, d):
     return rows.withColumn("n", F.row_number().over(w.orderBy("h", "sample_id"))).withColumn("m", F.count("*").over(w)).select("sample_id", "scenario_type", (2 * F.col("n") <= F.col("m")).alias("tuned"))
 
 
+def stream_sessions(s, d):
+    """Spans and last turn of every session, by the stream of messages run to its end."""
+    path = f"{d}/customer_turns.parquet"
+    messages = s.readStream.schema(s.read.parquet(path).schema).parquet(path + "*")
+    rows = conversations.run_to_table(messages)
+    return rows.groupBy("session_id").agg(F.max("last_turn").alias("last_turn"), F.max("n_spans").alias("n_spans"))
+
+
+def pairwise_fit(s, d):
+    """Violated pairs before each epoch of the pairwise learner on the recorded lists."""
+    vectors = stage(learn.difference_vectors(_ranks(s, d), _targets(s, d)), "pairs")
+    _, history = learn.fit_pairwise(vectors, list(evaluate.TRACE.values()), 10)
+    return s.createDataFrame(list(enumerate(history)), "epoch int, violated long")
+
+
+def positional_pairs(s, d):
+    """Samples and recorded sessions joined by their place in the order of ids, as replay files are."""
+    labels = _labels(s, d).select("sample_id")
+    other = _labels(s, d).select(F.reverse("sample_id").alias("reversed"))
+    return learn.positional_join(labels, other, ["sample_id"], ["reversed"]).select("position", "sample_id", "reversed")
+
+
 QUERIES = {f.__name__: f for f in (
     parse_turns, intent_markers, regex_slots, brand_mentions, category_mentions, session_spans, constraint_outcomes, feature_vector, linear_rank, mmr_rerank, profile_words, trace_replay,
     replay_sessions, session_metrics, rank_histogram, pool_recall, losing_pairs, gap_summary, list_commitment, pool_entropy, valid_recommendations, intent_cards, constraint_classes,
-    opening_messages, stratified_halves,
+    opening_messages, stratified_halves, stream_sessions, pairwise_fit, positional_pairs,
 )}
 
 _TURNS = "turns AS (SELECT session_id, turn, trim(coalesce(user_message, '')) AS text FROM customer_turns WHERE session_id IS NOT NULL AND turn IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id, turn ORDER BY loaded_at DESC NULLS LAST, user_message NULLS FIRST) = 1)"
@@ -339,5 +362,14 @@ SELECT session_id, turn, parent_asin, row_number() OVER (PARTITION BY session_id
 SELECT sample_id, CASE WHEN scenario_type = 'buying' AND intent_card.hard_constraints[1] IS NOT NULL THEN 'I''m looking for ' || category || '. A key requirement is: ' || intent_card.hard_constraints[1] || '.'
 WHEN scenario_type = 'intent_override' AND behavior.override.old_value IS NOT NULL THEN 'I''m looking for ' || category || '. ' || behavior.override.old_value ELSE 'I''m looking for ' || category || ', but I''m still exploring.' END AS message
 FROM samples JOIN cc ON ground_truth.parent_asin = parent_asin""",
+    "session_spans": f"""WITH {_PARSED}, u AS (SELECT session_id, turn, row_number() OVER (PARTITION BY session_id ORDER BY turn, i) AS k, x FROM
+  (SELECT session_id, turn, unnest(range(1, len(spans) + 1)) AS i, lower({_squeeze('unnest(spans)')}) AS x FROM said)),
+v AS (SELECT session_id, turn, k, CASE WHEN regexp_matches(x, '^color: ?.+') THEN trim(regexp_replace(x, '^color:', '')) ELSE x END AS x FROM u),
+w AS (SELECT session_id, x, min(k) AS k, min(turn) AS turn FROM v WHERE length(x) > 3 GROUP BY ALL),
+c AS (SELECT session_id, turn, category_phrase FROM said WHERE category_phrase <> '' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn) = 1)
+SELECT s.session_id, s.turn, coalesce((SELECT string_agg(x, ' | ' ORDER BY k) FROM w WHERE w.session_id = s.session_id AND w.turn <= s.turn), '') AS spans,
+coalesce((SELECT category_phrase FROM c WHERE c.session_id = s.session_id AND c.turn <= s.turn), '') AS category_phrase FROM said s""",
+    "stream_sessions": f"WITH {_PARSED}, x AS (SELECT session_id, turn, unnest(CASE WHEN len(spans) > 0 THEN spans ELSE [NULL] END) AS x FROM said) SELECT session_id, max(turn) AS last_turn, count(DISTINCT lower(x))::INTEGER AS n_spans FROM x GROUP BY session_id",
+    "positional_pairs": f"WITH {_LABELS} SELECT position, sample_id, reversed FROM (SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS position FROM samples) JOIN (SELECT reverse(sample_id) AS reversed, row_number() OVER (ORDER BY reverse(sample_id)) - 1 AS position FROM samples) USING (position)",
     "stratified_halves": f"WITH {_LABELS} SELECT sample_id, scenario_type, 2 * row_number() OVER (PARTITION BY scenario_type ORDER BY md5(sample_id), sample_id) <= count(*) OVER (PARTITION BY scenario_type) AS tuned FROM samples",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.dialogue import parse
+from ..session import shared_dir
 
 _OUT = "session_id string, turn int, n_spans int, last_turn int"
 _STATE = "turns array<int>, spans array<string>, last_turn int"
@@ -46,3 +48,21 @@ def session_stream(messages: DataFrame) -> DataFrame:
     parsed = parse(messages.where("session_id is not null and turn is not null").selectExpr("session_id", "turn", "trim(coalesce(user_message, '')) AS text"))
     grouped = parsed.select("session_id", "turn", "spans").groupBy("session_id")
     return grouped.applyInPandasWithState(_update, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def run_to_table(messages: DataFrame, name: str = "sessions") -> DataFrame:
+    """Run the stream over all messages there are, and the rows it gave, read back from the shared folder.
+
+    Progress and state are kept in the shared folder, too, so a restarted run goes on where it stopped.
+    """
+    spark = messages.sparkSession
+    base = f"{shared_dir(spark)}/shelfspark/{name}-{uuid.uuid4().hex}"
+    rows = session_stream(messages)
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("append").parquet(f"{base}/rows")
+
+    append(spark.createDataFrame([], rows.schema), -1)  # no messages give no rows, but a table
+    query = rows.writeStream.outputMode("update").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).foreachBatch(append).start()
+    query.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{base}/rows")
