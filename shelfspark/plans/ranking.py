@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import (
-    BROWSING_MARKERS, BUYING_MARKERS, CARD_COLORS, CARD_MATERIALS, CARD_NOISE, COLORS, CONSTRAINT_WORDS, INTENT_WEIGHTS, MATERIALS, NOT_BRANDS, OVERRIDE_MARKERS, SCAFFOLD, SIZES, SPOKEN_AUDIENCE, TAG_WORDS,
-    USE_CASES,
+    BOILERPLATE, BROWSING_MARKERS, BUYING_MARKERS, CARD_COLORS, CARD_MATERIALS, CARD_NOISE, COLORS, CONSTRAINT_WORDS, FAKE_QUALIFIERS, GENUINE, INTENT_WEIGHTS, MATERIALS, NOT_BRANDS, OVERRIDE_MARKERS, SCAFFOLD, SIZES, SPOKEN_AUDIENCE, TAG_WORDS,
+    USE_CASES, WEIGHTS,
 )
 from ..functions.text import tokens
 from ..operators import catalog as cat
@@ -329,6 +329,62 @@ _CLASS = "CASE WHEN contains(lower(v), 'budget') OR regexp_matches(lower(v), '(?
 _COARSE = f"list_filter(list_transform(flatten(list_transform(list_filter(coalesce(categories, []), lambda x: x IS NOT NULL), lambda x: string_split(x, ','))), lambda p: trim(p)), lambda p: p <> '' AND lower(p) NOT IN ({sql.listed(CARD_NOISE)}))"
 _TAGS = "CASE lower(trim(t)) " + " ".join(f"WHEN '{k}' THEN [{sql.listed(v)}]" for k, v in TAG_WORDS.items()) + " ELSE [lower(trim(t))] END"
 
+_LIVE = lambda x: f"list_filter(list_transform({sql.surface(x)}, lambda t: {sql.stem('t')}), lambda t: t NOT IN ({sql.listed(BOILERPLATE)}))"
+_PAIRS = lambda x: f"list_transform(range(1, len({x})), lambda i: {x}[i] || chr(1) || {x}[i + 1])"
+_OVERLAP = lambda q, d: f"CASE WHEN len({q}) > 0 THEN len(list_intersect({q}, {d})) / len({q}) ELSE 0.0 END"
+
+_WANTED = _PARSED + f""", {_VOCAB},
+u AS (SELECT session_id, turn, row_number() OVER (PARTITION BY session_id ORDER BY turn, i) AS k, x FROM
+  (SELECT session_id, turn, unnest(range(1, len(spans) + 1)) AS i, unnest(spans) AS x FROM said)),
+v AS (SELECT session_id, turn, k, CASE WHEN regexp_matches(y, '^color: ?.+') THEN trim(regexp_replace(y, '^color:', '')) ELSE y END AS y FROM (SELECT *, lower({_squeeze('x')}) AS y FROM u)),
+w AS (SELECT session_id, y, min(k) AS k, min(turn) AS turn FROM v WHERE length(y) > 3 GROUP BY ALL),
+c AS (SELECT session_id, turn, category_phrase FROM said WHERE category_phrase <> '' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn) = 1),
+q0 AS (SELECT s.session_id, s.turn, coalesce((SELECT list(y ORDER BY k) FROM w WHERE w.session_id = s.session_id AND w.turn <= s.turn), []) AS spans,
+  (SELECT category_phrase FROM c WHERE c.session_id = s.session_id AND c.turn <= s.turn) AS phrase,
+  (SELECT string_agg(x, ' . ' ORDER BY k) FROM u WHERE u.session_id = s.session_id AND u.turn <= s.turn) AS words FROM said s),
+q1 AS (SELECT session_id, turn, spans, coalesce(phrase, '') AS phrase, concat_ws(' . ', words, phrase) AS text FROM q0),
+q2 AS (SELECT *, {_NAMED} AS named FROM q1), q3 AS (SELECT *, {_UPTO} AS upto FROM q2),
+sg AS (SELECT DISTINCT session_id, turn, array_to_string(g[i:i + n - 1], ' ') AS surface FROM (SELECT session_id, turn, g, n, unnest(range(1, len(g) - n + 2)) AS i FROM
+  (SELECT session_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS g FROM q1), (SELECT unnest([1, 2, 3, 4]) AS n))),
+brands AS (SELECT session_id, turn, list(DISTINCT brand_key) AS brands FROM sg JOIN vocab USING (surface) GROUP BY ALL),
+levels AS (SELECT level, list_distinct({_STEMS('level')}) AS terms FROM (SELECT DISTINCT lower(unnest(category_path)) AS level FROM product) WHERE length(level) > 3),
+cats AS (SELECT session_id, turn, list(level) AS cats FROM (SELECT session_id, turn, {_STEMS('text')} AS st FROM q1), levels WHERE len(terms) > 0 AND list_has_all(st, terms) GROUP BY ALL),
+wanted AS (SELECT q3.*, {_GENDER} AS wg, coalesce(brands, []) AS wb, coalesce(cats, []) AS wc, list_distinct(regexp_extract_all(lower(text), '\\b({'|'.join(MATERIALS)})\\b', 1)) AS wm,
+  list_distinct(regexp_extract_all(lower(text), '\\b({'|'.join(COLORS)})\\b', 1)) AS wk, list_distinct(list_concat(flatten(list_transform(spans, lambda x: {_LIVE('x')})), {_LIVE('phrase')})) AS qt,
+  list_distinct({_LIVE('phrase')}) AS ct, list_transform(list_append(spans, phrase), lambda x: {_LIVE('x')}) AS parts FROM q3 LEFT JOIN brands USING (session_id, turn) LEFT JOIN cats USING (session_id, turn)),
+{_TRACE},
+pairs AS (SELECT t.session_id, t.turn, t.intent, t.candidate_asin, t.fused AS raw, p.*, w.* EXCLUDE (session_id, turn, text), lower(p.title || ' ' || features_text || ' ' || description_text) AS body, coalesce(gender, gender_fallback) AS g
+  FROM (SELECT DISTINCT session_id, turn, intent, candidate_asin, fused FROM trace) t JOIN product p ON p.parent_asin = t.candidate_asin JOIN wanted w ON w.session_id = t.session_id AND w.turn = t.turn),
+outcomes AS (SELECT *, CASE WHEN wg IS NULL OR g IS NULL THEN 'unknown' WHEN g = wg THEN 'satisfied' WHEN g = 'unisex' AND wg IN ('women', 'men') THEN 'satisfied' WHEN wg = 'unisex' AND g IN ('women', 'men') THEN 'unknown'
+    WHEN wg = 'kids' AND g IN ('boys', 'girls') THEN 'satisfied' WHEN g = 'kids' AND wg IN ('boys', 'girls') THEN 'unknown' WHEN wg = 'kids' AND g = 'unisex' THEN 'unknown' ELSE 'violated' END AS gender_outcome,
+  CASE WHEN len(wb) = 0 OR brand_key = '' THEN 'unknown' WHEN list_contains(wb, brand_key) THEN 'satisfied' ELSE 'violated' END AS brand_outcome,
+  CASE WHEN len(wc) = 0 OR len(category_path) = 0 THEN 'unknown' WHEN list_has_any(list_transform(category_path, lambda x: lower(x)), wc) THEN 'satisfied' ELSE 'violated' END AS category_outcome,
+  CASE WHEN len(list_filter(wm, lambda x: CASE WHEN x IN ('leather', 'suede') THEN (len(regexp_extract_all(body, '\\b' || x || '\\b')) > len(regexp_extract_all(body, '\\b({'|'.join(FAKE_QUALIFIERS)})[\\s-]+' || x || '\\b')))
+    OR (x = 'leather' AND regexp_matches(body, '{'|'.join(GENUINE['leather'])}')) ELSE contains(body, x) END)) > 0 THEN 'satisfied' ELSE 'unknown' END AS material_outcome,
+  CASE WHEN len(list_filter(wk, lambda x: contains(body, x))) > 0 THEN 'satisfied' ELSE 'unknown' END AS color_outcome FROM pairs)"""
+
+
+def _flag(dimension: str, outcome: str) -> str:
+    return f"({dimension}_outcome = '{outcome}')::INTEGER::DOUBLE AS {dimension}_{outcome}"
+
+
+_FEATURED = _WANTED + f""",
+{_LABELS},
+tagged AS (SELECT sample_id, unnest(CASE WHEN len(tags) > 0 THEN tags ELSE [NULL] END) AS t FROM (SELECT sample_id, list_filter(user_profile.preference_tags, lambda x: x IS NOT NULL AND trim(x) <> '') AS tags FROM samples)),
+profile AS (SELECT sample_id, coalesce(list_distinct(flatten(list({_TAGS}) FILTER (t IS NOT NULL))), []) AS pw FROM tagged GROUP BY sample_id),
+st AS (SELECT min(ln(1 + rating_number)) AS lo, max(ln(1 + rating_number)) AS hi, coalesce(avg(average_rating) FILTER (rating_number > 0), 4.0) AS m FROM product),
+f0 AS (SELECT o.*, coalesce(pw, []) AS pw, max(raw) OVER (PARTITION BY session_id, turn) AS best, {_STEMS('title')} AS tt, {_STEMS('features_text')} AS tf, {_STEMS('categories_text')} AS tc,
+  list_distinct(flatten(list_transform(parts, lambda z: {_PAIRS('z')}))) AS qb, (ln(1 + rating_number) - lo) / CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END AS popularity,
+  least(1.0, greatest(0.0, ((average_rating * rating_number + m * 50) / (rating_number + 50) - 1) / 4)) AS quality, len(list_filter(spans, lambda x: contains(search_blob, x))) AS hit,
+  lower(title || ' ' || features_text) AS hay FROM outcomes o LEFT JOIN profile ON sample_id = session_id, st),
+f1 AS (SELECT *, {_OVERLAP('qt', 'list_concat(list_concat(tt, tf), tc)')} AS coverage FROM f0),
+featured AS (SELECT session_id, turn, intent, candidate_asin, CASE WHEN best > 0 THEN raw / best ELSE 0.0 END AS fused, {_OVERLAP('qb', _PAIRS('tt'))} AS phrase_title, {_OVERLAP('qb', _PAIRS('tf'))} AS phrase_features,
+  {_OVERLAP('qb', _PAIRS('tc'))} AS phrase_categories, CASE WHEN len(spans) > 0 THEN hit / len(spans) ELSE 0.0 END AS span_coverage, (len(spans) > 0 AND hit = len(spans))::INTEGER::DOUBLE AS span_all, coverage,
+  popularity * (1 - coverage) AS popularity_low_coverage, popularity, quality, has_description::INTEGER::DOUBLE AS has_description, least(1.0, n_features / 12) AS n_features_norm,
+  {', '.join(_flag(x, o) for x in ranking.DIMENSIONS for o in ('satisfied', 'violated', 'unknown') if f'{x}_{o}' in COMPUTED)},
+  CASE WHEN len(pw) > 0 THEN least(1.0, len(list_filter(pw, lambda x: contains(hay, x))) / greatest(3.0, len(pw) * 0.5)) ELSE 0.0 END AS profile_affinity, {_OVERLAP('ct', 'list_concat(tt, tc)')} AS category_focus FROM f1)"""
+_LINEAR = " + ".join(f"({_weight(0, n, WEIGHTS[n])}) * {n}" for n in ("fused", *COMPUTED))
+
 ORACLE = {
     "parse_turns": f"WITH {_PARSED} SELECT session_id, turn, is_override, refused, is_nudge, category_phrase, array_to_string(spans, ' | ') AS spans FROM said",
     "intent_markers": f"WITH {_TURNS} SELECT session_id, turn, least(1.0, greatest(0.0, 0.5 + 0.25 * (({_hits(BUYING_MARKERS)}) - ({_hits(BROWSING_MARKERS)}))))::DOUBLE AS marker_score FROM turns",
@@ -362,6 +418,10 @@ SELECT session_id, turn, parent_asin, row_number() OVER (PARTITION BY session_id
 SELECT sample_id, CASE WHEN scenario_type = 'buying' AND intent_card.hard_constraints[1] IS NOT NULL THEN 'I''m looking for ' || category || '. A key requirement is: ' || intent_card.hard_constraints[1] || '.'
 WHEN scenario_type = 'intent_override' AND behavior.override.old_value IS NOT NULL THEN 'I''m looking for ' || category || '. ' || behavior.override.old_value ELSE 'I''m looking for ' || category || ', but I''m still exploring.' END AS message
 FROM samples JOIN cc ON ground_truth.parent_asin = parent_asin""",
+    "constraint_outcomes": f"WITH {sql.PRODUCT}, {_WANTED} SELECT session_id, turn, candidate_asin, gender_outcome, brand_outcome, category_outcome, material_outcome, color_outcome FROM outcomes",
+    "feature_vector": f"WITH {sql.PRODUCT}, {_FEATURED} SELECT session_id, turn, candidate_asin, round(fused, 6) AS fused, {', '.join(f'round({c}, 6) AS {c}' for c in COMPUTED)} FROM featured",
+    "linear_rank": f"""WITH {sql.PRODUCT}, {_FEATURED}, l AS (SELECT session_id, turn, candidate_asin, round({_LINEAR}, 9) AS s FROM featured)
+SELECT session_id, turn, candidate_asin, round(s, 6) AS score, row_number() OVER (PARTITION BY session_id, turn ORDER BY s DESC, candidate_asin)::INTEGER AS rank FROM l""",
     "session_spans": f"""WITH {_PARSED}, u AS (SELECT session_id, turn, row_number() OVER (PARTITION BY session_id ORDER BY turn, i) AS k, x FROM
   (SELECT session_id, turn, unnest(range(1, len(spans) + 1)) AS i, lower({_squeeze('unnest(spans)')}) AS x FROM said)),
 v AS (SELECT session_id, turn, k, CASE WHEN regexp_matches(x, '^color: ?.+') THEN trim(regexp_replace(x, '^color:', '')) ELSE x END AS x FROM u),
