@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from shelfspark.plans import registry
@@ -12,7 +13,7 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="test data not here")
 
 def rows(df):
     def value(v):
-        if v is None or v != v:
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return "null"
         return str(round(float(v), 5) + 0.0) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
