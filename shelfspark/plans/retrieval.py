@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bigrams, char_ngrams, stem, surface_tokens, tokens
 from ..operators import catalog as cat
-from ..operators import fusion, lexical, ngrams, stemming
+from ..operators import baseline, fusion, lexical, ngrams, stemming
 from ..session import stage
 from ..sources import table
 from . import sql
@@ -155,9 +155,25 @@ def span_injection(s, d):
     return fusion.inject(candidates, fusion.span_survivors(rows, spans), spans)
 
 
+def weak_baseline(s, d):
+    """The baseline on the titles of the query listings."""
+    rows = stage(cat.ingest(table(s, d, "catalog")), "listings")
+    queries = rows.where("listing_id % 50 = 0").select(F.col("listing_id").alias("query_id"), F.coalesce("title", F.lit("")).alias("text"))
+    return baseline.search(rows, queries).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+def span_selectivity(s, d):
+    """How many listings hold each feature phrase of the query listings, and how many bits it is worth."""
+    rows = _products(s, d, True)
+    spans = _span_lists(s, d).select(F.explode("spans").alias("span")).distinct().select(F.col("span").alias("query_id"), F.array("span").alias("spans"))
+    counts = fusion.span_survivors(rows, spans).groupBy(F.col("query_id").alias("span")).agg(F.count("*").alias("survivors"))
+    n = rows.agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(n)).select("span", "survivors", F.round(F.log2(F.col("n") / F.col("survivors")), 6).alias("bits"))  # one row
+
+
 QUERIES = {f.__name__: f for f in (
     token_counts, stem_rules, singular_candidates, canonical_stems, vocabulary_splits, bigram_counts, char_ngram_counts, product_view, last_loaded, catalog_priors,
-    postings_stats, term_idf, term_commonness, bm25_topk, field_mixture, ngram_norms, ngram_cosine_topk, vector_cosine_topk, convex_fusion, span_survivors, span_injection,
+    postings_stats, term_idf, term_commonness, bm25_topk, field_mixture, ngram_norms, ngram_cosine_topk, vector_cosine_topk, convex_fusion, span_survivors, span_injection, weak_baseline, span_selectivity,
 )}
 
 _TOKENS = f"tok AS (SELECT token, count(*) AS n FROM (SELECT unnest({sql.surface('text')}) AS token FROM documents) GROUP BY token)"
@@ -168,6 +184,19 @@ _SPANS = (
     "survivor AS (SELECT query_id, doc_id FROM spans, product WHERE len(spans) > 0 AND len(list_filter(spans, lambda s: NOT contains(search_blob, s))) = 0)"
 )
 
+_PLAIN = lambda x: f"list_filter(list_transform(regexp_extract_all(coalesce({x}, ''), '[A-Za-z0-9]+'), lambda t: lower(t)), lambda t: length(t) > 1 AND t NOT IN ({sql.listed(baseline.STOPWORDS)}))"
+_BASELINE = sql.LISTING + f""",
+cols AS (SELECT listing_id AS doc_id, 'title' AS col, title AS x FROM listing UNION ALL SELECT listing_id, 'categories', array_to_string(categories, ' ') FROM listing UNION ALL SELECT listing_id, 'features', array_to_string(features, ' ') FROM listing
+  UNION ALL SELECT listing_id, 'details', array_to_string(list_transform(list_sort(map_keys(details)), lambda k: concat_ws(' ', k, details[k])), ' ') FROM listing UNION ALL SELECT listing_id, 'store', store FROM listing
+  UNION ALL SELECT listing_id, 'description', array_to_string(description, ' ') FROM listing),
+word AS (SELECT doc_id, col, unnest({_PLAIN('x')}) AS term FROM cols),
+ix AS (SELECT doc_id, term, sum(CASE col {' '.join(f"WHEN '{c}' THEN {w}::DOUBLE" for c, w in baseline.COLUMNS.items())} END) AS tf, count(*) AS n FROM word GROUP BY ALL),
+dl AS (SELECT doc_id, sum(n) AS dl FROM ix GROUP BY doc_id), av AS (SELECT (SELECT count(*) FROM listing) AS docs, (SELECT sum(dl) FROM dl) / (SELECT count(*) FROM listing) AS avgdl),
+asked AS (SELECT query_id, unnest(ordered[1:40]) AS term FROM (SELECT query_id, list_filter(t, lambda x, i: list_position(t, x) = i) AS ordered FROM (SELECT listing_id AS query_id, {_PLAIN('title')} AS t FROM listing WHERE listing_id % 50 = 0))),
+df AS (SELECT term, count(*) AS df FROM ix GROUP BY term),
+hit AS (SELECT query_id, ix.doc_id, greatest(1e-6, ln((docs - df + 0.5) / (df + 0.5))) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) AS gain FROM ix JOIN asked USING (term) JOIN df USING (term) JOIN dl ON dl.doc_id = ix.doc_id, av),
+res AS (SELECT query_id, doc_id, round(sum(gain), 9) AS score FROM hit GROUP BY ALL)"""
+
 ORACLE = {
     "token_counts": f"WITH {_TOKENS} SELECT token, n FROM tok",
     "stem_rules": f"WITH {_TOKENS} SELECT token, {sql.stem('token')} AS term FROM tok",
@@ -194,6 +223,8 @@ FROM doc_stats JOIN (SELECT field, count(*) AS postings, sum(tf)::BIGINT AS toke
     "vector_cosine_topk": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS score,
 row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e, v.e), 9) DESC, v.vec_id)::INTEGER AS rank FROM v, v q WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id QUALIFY rank <= 10""",
     "convex_fusion": f"WITH {sql.PRODUCT}, {sql.search(200)}, {sql.cosine(150)}, {sql.FUSED} SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY fused.score DESC, doc_id)::INTEGER AS rank FROM fused QUALIFY rank <= 20",
+    "weak_baseline": f"WITH {_BASELINE} SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY res.score DESC, doc_id)::INTEGER AS rank FROM res QUALIFY rank <= 10",
+    "span_selectivity": f"WITH {sql.PRODUCT}, {_SPANS}, one AS (SELECT DISTINCT unnest(spans) AS span FROM spans) SELECT span, count(*) AS survivors, round(log2((SELECT count(*) FROM product) / count(*)), 6) AS bits FROM one JOIN product ON contains(search_blob, span) GROUP BY span",
     "span_survivors": f"WITH {sql.PRODUCT}, {_SPANS} SELECT query_id, doc_id FROM survivor",
     "span_injection": f"""WITH {sql.PRODUCT}, {sql.search(200)}, {_SPANS},
 pool AS (SELECT query_id, doc_id FROM mixture QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20)
