@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.latest import latest
+from ..session import stage
 from .arrow import batch_of, words
 
 #: Terms that a task holds before it hands their counts on.
@@ -70,18 +71,40 @@ def _rare_postings(window: int, min_tf: int, max_records: int):
     return run
 
 
-def _all_postings(window: int):
+def _counts(batches):
+    """Per task: (term, records)."""
+    schema = pa.schema([("term", pa.string()), ("records", pa.int64())])
+    held: Counter = Counter()
+    for batch in batches:
+        for text in batch.column(1).to_pylist():
+            held.update(set(words(text)))
+        if len(held) > _HELD:
+            yield batch_of(schema, term=list(held), records=list(held.values()))
+            held.clear()
+    if held:
+        yield batch_of(schema, term=list(held), records=list(held.values()))
+
+
+def _some_postings(window: int, common, take_common: bool):
+    """The terms of every record that are among the common ones, with their counts, or those that are not."""
+    schema = pa.schema([*_SCORED, ("records", pa.int64())])
+
     def run(batches):
+        known = common.value
         for batch in batches:
-            out: list[tuple] = []
-            for listing, text in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens = words(text)
-                counts = Counter(tokens)
-                degree = degrees(tokens, counts, window)
-                out.extend((listing, term, tf, degree[term]) for term, tf in counts.items())
-            if out:
-                listing_id, term, tf, degree = zip(*out)
-                yield batch_of(_SCORED, listing_id=listing_id, term=term, tf=tf, degree=degree)
+            for lo in range(0, batch.num_rows, 500):
+                ids, terms, tfs, degs = [], [], [], []
+                for listing, text in zip(*(c.slice(lo, 500).to_pylist() for c in batch.columns)):
+                    tokens = words(text)
+                    tf = Counter(tokens)
+                    own = [t for t in tf if (t in known) == take_common]
+                    degree = degrees(tokens, own, window)
+                    ids += [listing] * len(own)
+                    terms += own
+                    tfs += [tf[t] for t in own]
+                    degs += [degree[t] for t in own]
+                if ids:
+                    yield batch_of(schema, listing_id=ids, term=terms, tf=tfs, degree=degs, records=[known[t] for t in terms] if take_common else [None] * len(ids))
 
     return run
 
@@ -103,19 +126,21 @@ def term_scores(catalog: DataFrame, window: int = 4) -> DataFrame:
     """(listing_id, term, tf, records, degree, score) of every term of every listing's title, features, description.
 
     Each distinct listing_id counts once.  Null or blank texts have no terms; a single word has degree 0 and score 0.
-    Terms of more than a thousandth of the listings are at most a thousand times the mean number of terms of a
-    listing, whatever the collection's size; they are joined by the planner's choice apart from the others, so that no
-    hot term gathers in one task.
+    Terms of more than a thousandth of the listings (and more than 1,000) are at most a thousand times as many as the
+    mean listing has terms, whatever the collection's size: their counts go to the workers, and only rarer terms are
+    shuffled and joined, so that no hot term gathers in one task.
     """
     texts = _texts(catalog)
-    postings = texts.mapInArrow(_all_postings(window), "listing_id long, term string, tf long, degree long")
-    stats = postings.groupBy("term").agg(F.count("*").alias("records")).join(F.broadcast(_records(catalog)))
-    common = stats.where("records > greatest(1000, n / 1000)")
-    tagged = postings.join(F.broadcast(common), "term", "left")  # bounded as the docstring says
-    known = tagged.where("records is not null")
-    rest = tagged.where("records is null").select("listing_id", "term", "tf", "degree").join(stats.where("records <= greatest(1000, n / 1000)"), "term")
+    n = catalog.where("listing_id is not null").agg(F.count_distinct("listing_id")).first()[0]
+    stats = stage(texts.mapInArrow(_counts, "term string, records long").groupBy("term").agg(F.sum("records").alias("records")), "terms")
+    common = {t: c for t, c in stats.where(F.col("records") > max(1000, n / 1000)).collect()}
+    sent = catalog.sparkSession.sparkContext.broadcast(common)
+    ddl = "listing_id long, term string, tf long, degree long, records long"
+    parts = [texts.mapInArrow(_some_postings(window, sent, True), ddl)]
+    rare = stats.where(F.col("records") <= max(1000, n / 1000))
+    parts.append(texts.mapInArrow(_some_postings(window, sent, False), ddl).drop("records").join(rare, "term"))
     columns = ["listing_id", "term", "tf", "records", "degree"]
-    return known.select(*columns, _score()).unionByName(rest.select(*columns, _score()))
+    return parts[0].select(*columns).unionByName(parts[1].select(*columns)).withColumn("n", F.lit(n)).select(*columns, _score())
 
 
 def rare_repeated_terms(catalog: DataFrame, window: int = 4, min_tf: int = 3, max_records: int = 5) -> DataFrame:
