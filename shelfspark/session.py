@@ -48,6 +48,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, keeps columns prunable."""
-    path = f"{shared_dir(df.sparkSession)}/shelfspark/{name}-{uuid.uuid4().hex}"
+    path = f"{staged_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are."""
+    return f"{shared_dir(spark)}/shelfspark/{spark.sparkContext.applicationId}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; call it once the results that read them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

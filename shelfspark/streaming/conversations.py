@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.dialogue import parse
-from ..session import shared_dir
+from ..session import staged_dir
 
 _OUT = "session_id string, turn int, n_spans int, last_turn int"
 _STATE = "turns array<int>, spans array<string>, last_turn int"
@@ -56,7 +56,7 @@ def run_to_table(messages: DataFrame, name: str = "sessions") -> DataFrame:
     Progress and state are kept in the shared folder, too, so a restarted run goes on where it stopped.
     """
     spark = messages.sparkSession
-    base = f"{shared_dir(spark)}/shelfspark/{name}-{uuid.uuid4().hex}"
+    base = f"{staged_dir(spark)}/{name}-{uuid.uuid4().hex}"
     rows = session_stream(messages)
 
     def append(batch: DataFrame, number: int) -> None:
