@@ -54,3 +54,11 @@ def test_stream_without_messages(spark, tmp_path):
     schema = "session_id string, turn int, user_message string"
     (tmp_path / "none").mkdir()
     assert conversations.run_to_table(spark.readStream.schema(schema).parquet(str(tmp_path / "none"))).count() == 0
+
+
+def test_staged_tables_can_be_cleared(spark):
+    from shelfspark.session import clear_staged, stage
+
+    assert stage(spark.range(5).toDF("x"), "t").count() == 5
+    clear_staged(spark)
+    assert stage(spark.range(3).toDF("x"), "t").count() == 3
