@@ -238,6 +238,35 @@ def test_near_duplicates_equal_brute_force(spark, width, threshold):
     assert got <= want and len(got) >= 0.99 * len(want) and {(0, 903), (0, 904), (903, 904)} <= got
 
 
+def _family(rng, n, others, vocabulary):
+    """Texts of which a third are edited copies of one text, and the rest are unlike."""
+    base = [rng.choice(vocabulary) for _ in range(60)]
+    texts = {}
+    for i in range(n):
+        w = list(base) if i < n - others else [rng.choice(vocabulary) for _ in range(60)]
+        for _ in range(rng.randint(2, 6)):
+            w[rng.randrange(60)] = rng.choice(vocabulary)
+        texts[i] = " ".join(w)
+    return texts
+
+
+@pytest.mark.parametrize("salted", [2048, 16])
+def test_a_family_of_a_third_of_the_texts_is_found_whole(spark, monkeypatch, salted):
+    monkeypatch.setattr(neardup, "SALTED", salted, raising=False)
+    texts = _family(random.Random(9), 240, 160, [f"w{i}" for i in range(5000)])
+    df = spark.createDataFrame(list(texts.items()), "listing_id long, text string").withColumn("loaded_at", F.current_timestamp())
+    got = set(rows_of(neardup.similar_pairs(*neardup.similar_texts(df, 3, 0.5, 40))))
+    assert got == {(a, b) for a in texts for b in texts if a < b and jaccard(texts[a], texts[b], 3) >= 0.5}
+
+
+def test_copies_do_not_make_their_shingles_common(spark):
+    texts = [" ".join(f"w{i}" for i in range(60))] * 500 + [" ".join(f"{k}v{i}" for i in range(60)) for k in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "listing_id long, text string").withColumn("loaded_at", F.current_timestamp()).coalesce(1)
+    profile = df.select("listing_id", "loaded_at", "text").mapInArrow(neardup._profile(3, 40), "listing_id long, loaded_at timestamp, class long, n int, sketch array<long>, part long, counts binary")
+    count, rarity = neardup.rarity_table(profile)
+    assert count == 21 and (rarity > 0).all()
+
+
 def test_near_duplicate_edges(catalog):
     assert neardup.near_duplicate_listings(catalog(EDGE)).count() == 0
     assert neardup.near_duplicate_listings(catalog(EDGE).where("false")).count() == 0
