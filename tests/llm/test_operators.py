@@ -196,6 +196,15 @@ def test_large_groups_hang_on_their_smallest_id(catalog, item_refs, monkeypatch)
     assert got == [(1, 2), (1, 20)]
 
 
+@pytest.mark.parametrize("salted", [500, 5])
+def test_differently_worded_listings_of_an_item_are_paired_in_full(spark, monkeypatch, salted):
+    monkeypatch.setattr(sameitem, "SALTED", salted, raising=False)
+    members = spark.createDataFrame([(i, i) for i in range(1, 201)], "class long, listing_id long")
+    links = spark.createDataFrame([(1, i) for i in range(2, 201)], "a long, b long")
+    monkeypatch.setattr(sameitem, "same_item_links", lambda *_: (links, members))
+    assert rows_of(sameitem.same_item_pairs(None, None)) == sorted([(a, b) for a in range(1, 201) for b in range(a + 1, 201)], key=str)
+
+
 def test_parser_reads_units_and_counts():
     p = Parser({"Color": ["Navy Blue"], "Material": ["Full Grain Leather"], "store": []})
     r = p.parse('Zaif Korv Rain Coat 12" navy, set of two', None, ["crafted in Full Grain Leather", "weighs 12 oz"])
