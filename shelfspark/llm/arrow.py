@@ -19,17 +19,19 @@ def words(text: str | None) -> list[str]:
 class Hashes(dict):
     """token -> 64-bit hash, remembered; emptied when it has grown past its bound."""
 
-    BOUND = 400_000
+    def __init__(self, bound: int = 50_000):
+        super().__init__()
+        self.bound = bound
 
     def __missing__(self, token: str) -> int:
-        if len(self) > self.BOUND:
+        if len(self) > self.bound:
             self.clear()
         value = self[token] = xxhash.xxh3_64_intdigest(token)
         return value
 
 
 def hash_tokens(tokens: list[str], cache: Hashes) -> np.ndarray:
-    return np.fromiter((cache[t] for t in tokens), dtype=np.uint64, count=len(tokens))
+    return np.fromiter(map(cache.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
 
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
