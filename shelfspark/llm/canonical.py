@@ -3,7 +3,7 @@
 A BK-tree over the folded reference entries under the unrestricted Damerau-Levenshtein distance, which is a metric,
 answers which entries lie within a threshold; the triangle inequality prunes.  Trees are searched level by level for
 a whole batch of values, so the distances of a level are one array computation.  The reference may be split into
-shards; every value meets every shard and the nearest entry of all shards wins.
+shards; every value meets every shard, and what the shards found is judged together, so that shards change no result.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.latest import latest
-from .arrow import batch_of
+from ..operators.latest import latest_of_wide
+from ..session import stage
 
 #: Words that sellers put around a value; fixed values.
 WRAPPERS = frozenset(
@@ -54,14 +54,14 @@ def _pieces(text: str) -> list[str]:
     return [p.translate(LOOKALIKE) if not p.isdecimal() and any(c.isdigit() for c in p) else p for p in _PIECE.findall(text)]
 
 
-def forms(value: str) -> list[str]:
+def forms(value: str, wrappers: frozenset = WRAPPERS) -> list[str]:
     """The strings to look up for a value: with and without wrapper words, in both word orders."""
     text = fold(value)
     inside = " ".join(_PARENS.findall(text))
     out: list[str] = []
     for part in (text, _PARENS.sub(" ", text), inside):
         pieces = _pieces(part)
-        bare = [p for p in pieces if p not in WRAPPERS]
+        bare = [p for p in pieces if p not in wrappers]
         for words in (pieces, bare):
             for order in (words, words[::-1]):
                 key = "".join(order)
@@ -75,53 +75,60 @@ def allowed(length: int) -> int:
     return 0 if length < 3 else 1 if length < 5 else 2
 
 
-_PAD = 40
+def alphabet(keys: list[str]) -> dict[str, int]:
+    """The letters of the entries, numbered from 1; any other letter of a value equals none of them and shares the next number."""
+    return {c: i for i, c in enumerate(sorted({c for k in keys for c in k}), 1)}
 
 
-def encode(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Strings as rows of small codes, and their lengths; letters beyond the alphabet share one code by code point."""
-    lengths = np.fromiter((min(len(s), _PAD) for s in strings), dtype=np.int16, count=len(strings))
-    codes = np.zeros((len(strings), _PAD), dtype=np.uint8)
+def encode(strings: list[str], letters: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Strings as rows of letter numbers, as wide as the longest, and their lengths."""
+    lengths = np.fromiter((len(s) for s in strings), dtype=np.int32, count=len(strings))
+    codes = np.zeros((len(strings), int(lengths.max(initial=0))), dtype=np.int32)
+    other = len(letters) + 1
     for i, s in enumerate(strings):
-        codes[i, : lengths[i]] = [1 + (ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) % 37) for c in s[:_PAD]]
+        codes[i, : lengths[i]] = [letters.get(c, other) for c in s]
     return codes, lengths
 
 
-def bags(codes: np.ndarray) -> np.ndarray:
-    """How often each letter code occurs in each row."""
-    out = np.zeros((len(codes), 64), dtype=np.int8)
+def bags(codes: np.ndarray, letters: int) -> np.ndarray:
+    """How often each letter number occurs in each row."""
+    out = np.zeros((len(codes), letters + 2), dtype=np.int16)
     for j in range(codes.shape[1]):
         used = np.flatnonzero(codes[:, j])
         out[used, codes[used, j]] += 1
     return out
 
 
-def distances(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
+def distances(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, letters: int) -> np.ndarray:
     """Unrestricted Damerau-Levenshtein distance of each row of a to the row of b beside it."""
     n, rows, cols = len(a), int(la.max(initial=0)), int(lb.max(initial=0))
     at = np.arange(n)
-    far = np.int16(rows + cols + 1)
-    d = np.full((rows + 2, cols + 2, n), far, dtype=np.int16)
-    d[1:, 1, :] = np.arange(rows + 1, dtype=np.int16)[:, None]
-    d[1, 1:, :] = np.arange(cols + 1, dtype=np.int16)[:, None]
-    last_row = np.zeros((64, n), dtype=np.int16)
+    far = np.int32(rows + cols + 1)
+    d = np.full((rows + 2, cols + 2, n), far, dtype=np.int32)
+    d[1:, 1, :] = np.arange(rows + 1, dtype=np.int32)[:, None]
+    d[1, 1:, :] = np.arange(cols + 1, dtype=np.int32)[:, None]
+    last_row = np.zeros((letters + 2, n), dtype=np.int32)
     for i in range(1, rows + 1):
         ca = a[:, i - 1]
-        last_col = np.zeros(n, dtype=np.int16)
+        last_col = np.zeros(n, dtype=np.int32)
         for j in range(1, cols + 1):
             cb = b[:, j - 1]
             i1 = last_row[cb, at]
             same = ca == cb
-            cost = np.where(same, np.int16(0), np.int16(1))
+            cost = np.where(same, np.int32(0), np.int32(1))
             swap = d[i1, last_col, at] + (i - i1 - 1) + 1 + (j - last_col - 1)
             d[i + 1, j + 1] = np.minimum(np.minimum(d[i, j] + cost, np.minimum(d[i + 1, j], d[i, j + 1]) + 1), swap)
-            last_col = np.where(same, np.int16(j), last_col)
+            last_col = np.where(same, np.int32(j), last_col)
         last_row[ca, at] = i
     return d[la.astype(np.int64) + 1, lb.astype(np.int64) + 1, at]
 
 
+#: Cells of the distance matrices that are worked on at once.
+_CELLS = 4_000_000
+
+
 class BKTree:
-    """A forest of BK-trees over entries (key, id), one tree for each key length; equal keys keep the smallest id.
+    """A forest of BK-trees over entries (key, id), one tree for each key length; equal keys share a node.
 
     Only trees of lengths within the threshold are searched.  The distance to a node decides which of its children
     may hold an answer, |distance - edge| <= threshold; where the difference of the letter counts, a lower bound of
@@ -129,13 +136,13 @@ class BKTree:
     """
 
     def __init__(self, entries: list[tuple[str, int]]):
-        self.ids: dict[str, int] = {}
+        self.ids: dict[str, list[int]] = {}
         for key, ref in entries:
-            self.ids[key] = min(ref, self.ids.get(key, ref))
+            self.ids.setdefault(key, []).append(ref)
         self.keys = sorted(self.ids)
-        self.codes, self.lengths = encode(self.keys)
-        self.bags = bags(self.codes)
-        self.refs = np.array([self.ids[k] for k in self.keys], dtype=np.int64)
+        self.letters = alphabet(self.keys)
+        self.codes, self.lengths = encode(self.keys, self.letters)
+        self.bags = bags(self.codes, len(self.letters))
         self.roots: dict[int, int] = {}
         at: dict[int, np.ndarray] = {}
         for length in np.unique(self.lengths).tolist():
@@ -149,7 +156,7 @@ class BKTree:
                 if not len(members):
                     continue
                 one = np.repeat(node, len(members))
-                apart = distances(self.codes[one], self.lengths[one], self.codes[members], self.lengths[members])
+                apart = self._apart(self.codes, self.lengths, one, members)
                 for k in np.unique(apart).tolist():
                     group = members[apart == k]
                     edges.append((node, k, int(group[0])))
@@ -160,32 +167,40 @@ class BKTree:
         self.first = np.searchsorted(flat[:, 0], np.arange(len(self.keys) + 1))
         self.edge, self.child = flat[:, 1], flat[:, 2]
 
-    def search(self, strings: list[str]) -> list[tuple[int, int] | None]:
-        """For each string the nearest entry within allowed(): (distance, id), smallest id first among equals."""
-        best: list[tuple[int, int] | None] = [None] * len(strings)
-        if not self.keys or not strings:
-            return best
-        codes, lengths = encode(strings)
-        own = bags(codes)
-        reach = np.array([allowed(len(s)) for s in strings], dtype=np.int64)
+    def _apart(self, codes, lengths, of, nodes) -> np.ndarray:
+        """The distances of rows of codes to nodes, in runs of similar length that fit the memory."""
+        out = np.zeros(len(of), dtype=np.int64)
+        order = np.argsort(lengths[of] + self.lengths[nodes], kind="stable")
+        while len(order):
+            most = int((lengths[of[order[:5_000]]].max() + 2) * (self.lengths[nodes[order[:5_000]]].max() + 2))
+            part, order = np.split(order, [max(1, min(5_000, _CELLS // most))])
+            out[part] = distances(codes[of[part]], lengths[of[part]], self.codes[nodes[part]], self.lengths[nodes[part]], len(self.letters))
+        return out
+
+    def search(self, strings: list[str]) -> list[list[tuple[int, int]]]:
+        """For each string every entry within allowed(): (distance, id), nearest first."""
+        out: list[list[tuple[int, int]]] = [[] for _ in strings]
+        longest = int(self.lengths.max(initial=0)) + 2
+        asked = [i for i, x in enumerate(strings) if 0 < len(x) <= longest]  # longer ones have no entry near
+        if not self.keys or not asked:
+            return out
+        codes, lengths = encode([strings[i] for i in asked], self.letters)
+        own = bags(codes, len(self.letters))
+        reach = np.array([allowed(n) for n in lengths.tolist()], dtype=np.int64)
         start = [(i, self.roots[m]) for i, (n, r) in enumerate(zip(lengths.tolist(), reach.tolist())) for m in range(n - r, n + r + 1) if m in self.roots]
         query, node = (np.array(x, dtype=np.int64) for x in zip(*start)) if start else (np.empty(0, np.int64), np.empty(0, np.int64))
         while len(query):
             next_query, next_node = [], []
             for lo in range(0, len(query), 200_000):
                 q, v = query[lo : lo + 200_000], node[lo : lo + 200_000]
-                gap = own[q].astype(np.int16) - self.bags[v]
+                gap = own[q] - self.bags[v]
                 apart = np.maximum(np.maximum(gap, 0).sum(1), np.maximum(-gap, 0).sum(1)).astype(np.int64)
                 near = np.flatnonzero(apart <= reach[q])
                 exact = np.zeros(len(q), dtype=bool)
                 exact[near] = True
-                for k in range(0, len(near), 5_000):
-                    part = near[k : k + 5_000]
-                    apart[part] = distances(codes[q[part]], lengths[q[part]], self.codes[v[part]], self.lengths[v[part]])
+                apart[near] = self._apart(codes, lengths, q[near], v[near])
                 for i in near[apart[near] <= reach[q[near]]].tolist():
-                    found = (int(apart[i]), int(self.refs[v[i]]))
-                    if best[q[i]] is None or found < best[q[i]]:
-                        best[q[i]] = found
+                    out[asked[q[i]]] += [(int(apart[i]), ref) for ref in self.ids[self.keys[v[i]]]]
                 many = self.first[v + 1] - self.first[v]
                 parent = np.repeat(np.arange(len(q)), many)
                 at = np.arange(len(parent)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[v], many)
@@ -194,111 +209,165 @@ class BKTree:
                 next_query.append(q[parent[keep]])
                 next_node.append(self.child[at[keep]])
             query, node = np.concatenate(next_query), np.concatenate(next_node)
-        return best
-
-
-def nearest(values: list[str], tree: BKTree) -> list[tuple[int, int] | None]:
-    """(distance, id) of each value's best form.
-
-    A form equal to an entry is at distance 0.  A known other name, the start of exactly one entry (four letters or
-    more) and an entry without its vowels (three or more) count as one edit.  Other forms are searched in the tree.
-    """
-    skeleton: dict[str, set] = {}
-    for key in tree.keys:
-        skeleton.setdefault(re.sub("[aeiou]", "", key), set()).add(key)
-
-    def short_of(key: str) -> str | None:
-        if SYNONYMS.get(key) in tree.ids:
-            return SYNONYMS[key]
-        if len(key) >= 4:
-            at = bisect.bisect_left(tree.keys, key)
-            starts = [k for k in tree.keys[at : at + 2] if k.startswith(key)]
-            if len(starts) == 1:
-                return starts[0]
-        same = skeleton.get(key, ()) if len(key) >= 3 else ()
-        return next(iter(same)) if len(same) == 1 else None
-
-    out: list[tuple[int, int] | None] = [None] * len(values)
-    open_forms: dict[str, list[int]] = {}
-    for i, value in enumerate(values):
-        own = forms(value)
-        if found := next((k for k in own if k in tree.ids), None):
-            out[i] = (0, tree.ids[found])
-        elif found := next((x for x in map(short_of, own) if x), None):
-            out[i] = (1, tree.ids[found])
-        else:
-            for key in own:
-                open_forms.setdefault(key, []).append(i)
-    keys = list(open_forms)
-    for key, found in zip(keys, tree.search(keys)):
-        if found is not None:
+        return [sorted(found) for found in out]
+
+
+class Shard:
+    """A part of the reference of one field: finds what may be meant by a value."""
+
+    def __init__(self, entries: list[tuple[str, int]], aliases: dict[str, str], wrappers: frozenset, whole: bool):
+        self.tree = BKTree(entries)
+        self.aliases, self.wrappers, self.whole = aliases, wrappers, whole
+        self.skeleton: dict[str, list] = {}
+        for key in self.tree.keys:
+            self.skeleton.setdefault(re.sub("[aeiou]", "", key), []).append(key)
+
+    def candidates(self, values: list[str]) -> list[list[tuple[int, int, str, int]]]:
+        """(rule, order, key, id) for each value: what _judge chooses from.
+
+        rule 0: a form equals the entry; order is the form's number.  rule 1: a form is another name of the entry, its
+        start (four letters or more) or its letters without the vowels (three or more); order is three times the
+        form's number, plus 0, 1 or 2.  Two entries are enough to tell that a start or skeleton is ambiguous.  rule 2:
+        an entry of the tree; order is its distance.  The tree is asked unless the other rules already decide, which
+        rule 1 can only do in a whole reference.
+        """
+        keys, out = self.tree.keys, []
+        open_forms: dict[str, list[int]] = {}
+        for i, value in enumerate(values):
+            own, found, sure = forms(value, self.wrappers), [], False
+            for n, key in enumerate(own):
+                if key in self.tree.ids:
+                    found.append((0, n, key))
+                    sure = True
+                other = [self.aliases[key]] if self.aliases.get(key) in self.tree.ids else []
+                at = bisect.bisect_left(keys, key)
+                starts = [k for k in keys[at : at + 2] if k.startswith(key)] if len(key) >= 4 else []
+                bare = self.skeleton.get(key, [])[:2] if len(key) >= 3 else []
+                found += [(1, 3 * n + r, k) for r, ks in enumerate((other, starts, bare)) for k in ks]
+                sure |= self.whole and 1 in (len(other), len(starts), len(bare))
+            out.append([(rule, order, key, min(self.tree.ids[key])) for rule, order, key in found])
+            if not sure:
+                for key in own:
+                    open_forms.setdefault(key, []).append(i)
+        for key, near in zip(open_forms, self.tree.search(list(open_forms))):
             for i in open_forms[key]:
-                if out[i] is None or found < out[i]:
-                    out[i] = found
-    return out
+                out[i] += [(2, apart, "", ref) for apart, ref in near]
+        return out
 
 
-_MATCH = pa.schema([("field", pa.string()), ("value", pa.string()), ("distance", pa.int32()), ("ref_id", pa.int64())])
+_FOUND = pa.schema([("field", pa.string()), ("value", pa.string()), ("rule", pa.int32()), ("order", pa.int32()), ("key", pa.string()), ("ref_id", pa.int64())])
+_FOUND_DDL = "field string, value string, rule int, order int, key string, ref_id long"
 
 
-def _shard(values: pa.Table, refs: pa.Table) -> pa.Table:
-    out: dict = {"field": [], "value": [], "distance": [], "ref_id": []}
+def _shards(refs, aliases: dict, wrappers: frozenset, whole: bool) -> dict[str, Shard]:
     by: dict[str, list] = {}
-    for field, name, ref in zip(refs["field"].to_pylist(), refs["canonical_name"].to_pylist(), refs["ref_id"].to_pylist()):
+    for field, name, ref in refs:
         by.setdefault(field, []).append(("".join(_pieces(fold(name))), ref))
+    return {field: Shard(entries, aliases, wrappers, whole) for field, entries in by.items()}
+
+
+def _looked_up(shards: dict[str, Shard], fields: list, values: list) -> pa.RecordBatch:
     asked: dict[str, list] = {}
-    for field, value in zip(values["field"].to_pylist(), values["value"].to_pylist()):
-        asked.setdefault(field, []).append(value)
+    for field, value in zip(fields, values):
+        if field in shards:
+            asked.setdefault(field, []).append(value)
+    out: list[tuple] = []
     for field, own in asked.items():
-        tree = BKTree(by.get(field, []))
-        for lo in range(0, len(own), 5_000):
-            part = own[lo : lo + 5_000]
-            for value, found in zip(part, nearest(part, tree)):
-                out["field"].append(field)
-                out["value"].append(value)
-                out["distance"].append(found[0] if found else None)
-                out["ref_id"].append(found[1] if found else None)
-    return pa.Table.from_pydict(out, schema=_MATCH)
-
-
-def map_values(values: DataFrame, refs: DataFrame, shard_entries: int = 20_000, task_values: int = 20_000) -> DataFrame:
+        for value, found in zip(own, shards[field].candidates(own)):
+            out += [(field, value, *f) for f in dict.fromkeys(found)]
+    columns = zip(*out) if out else [[] for _ in _FOUND]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
+
+
+def _look_up(sent, aliases: dict, wrappers: frozenset):
+    """For a reference that was sent to the workers whole."""
+
+    def run(batches):
+        shards = None
+        for batch in batches:
+            shards = shards or _shards(sent.value, aliases, wrappers, True)
+            for lo in range(0, batch.num_rows, 2_000):
+                yield _looked_up(shards, *(c.slice(lo, 2_000).to_pylist() for c in batch.columns))
+
+    return run
+
+
+def _look_up_shard(aliases: dict, wrappers: frozenset):
+    def run(values: pa.Table, refs: pa.Table) -> pa.Table:
+        shards = _shards(zip(*(refs[c].to_pylist() for c in ("field", "canonical_name", "ref_id"))), aliases, wrappers, False)
+        fields, own = values["field"].to_pylist(), values["value"].to_pylist()
+        parts = [_looked_up(shards, fields[lo : lo + 2_000], own[lo : lo + 2_000]) for lo in range(0, len(own), 2_000)]
+        return pa.Table.from_batches(parts, schema=_FOUND)
+
+    return run
+
+
+def map_values(
+    values: DataFrame, refs: DataFrame, shard_entries: int = 20_000, task_values: int = 4_000, aliases: dict | None = None, wrappers: frozenset = WRAPPERS
+) -> DataFrame:
     """(field, value, ref_id, distance) of every distinct (field, value); ref_id is 0 and distance null if unmatched.
 
-    Values are spread over tasks of about task_values, the reference over shards of shard_entries; each shard's
-    winner meets the others' in one aggregation.  Null fields or values are left out, so are null reference names.
+    A form equal to an entry is at distance 0.  A known other name (aliases: form -> folded entry), the start of
+    exactly one entry and the skeleton of exactly one count as one edit, and come before what the tree finds within
+    allowed() edits; the first form counts among equals, then the smallest id.  A reference of at most shard_entries
+    rows is sent to the workers, a larger one meets the values in shards; what is exactly one entry is judged over all
+    shards.  Null fields or values are left out, so are null reference names.
     """
-    values = values.where("field is not null and value is not null").select("field", "value").distinct()
-    refs = refs.where("field is not null and canonical_name is not null")
-    shards = max(1, math.ceil(refs.count() / shard_entries))
-    tasks = max(2 * shards, math.ceil(values.agg(F.count("*")).first()[0] / task_values), 1)
-    spread = values.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("task", F.pmod(F.xxhash64("value"), F.lit(tasks)))
-    trees = refs.select("field", "canonical_name", F.col("ref_id").cast("long").alias("ref_id")).withColumn("shard", F.pmod(F.xxhash64("canonical_name"), F.lit(shards)).cast("int")).withColumn(
-        "task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)).cast("array<bigint>"))
-    )
-    found = (
-        spread.groupBy("shard", "task").cogroup(trees.groupBy("shard", "task")).applyInArrow(_shard, "field string, value string, distance int, ref_id long")
-    )
-    best = F.min(F.struct("distance", "ref_id"))
-    matched = found.where("ref_id is not null").groupBy("field", "value").agg(best.alias("b"))
-    return values.join(matched, ["field", "value"], "left").select("field", "value", F.coalesce("b.ref_id", F.lit(0)).cast("long").alias("ref_id"), F.col("b.distance").alias("distance"))
+    aliases = SYNONYMS if aliases is None else aliases
+    values = stage(values.where("field is not null and value is not null").select("field", "value").distinct(), "values")
+    refs = refs.where("field is not null and canonical_name is not null").select("field", "canonical_name", F.col("ref_id").cast("long").alias("ref_id"))
+    number = refs.count()
+    tasks = max(1, math.ceil(values.count() / task_values))
+    spread = values.withColumn("task", F.pmod(F.xxhash64("value"), F.lit(tasks)))
+    if number <= shard_entries:
+        sent = values.sparkSession.sparkContext.broadcast([tuple(r) for r in refs.collect()])  # shard_entries rows at most
+        found = spread.repartition(tasks, "task").select("field", "value").mapInArrow(_look_up(sent, aliases, wrappers), _FOUND_DDL)
+    else:
+        shards = math.ceil(number / shard_entries)
+        spread = spread.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        copies = refs.withColumn("shard", F.pmod(F.xxhash64("canonical_name"), F.lit(shards)).cast("int")).withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)).cast("array<bigint>")))
+        found = spread.groupBy("shard", "task").cogroup(copies.groupBy("shard", "task")).applyInArrow(_look_up_shard(aliases, wrappers), _FOUND_DDL)
+    of_value = ["field", "value"]
+    judged = found.groupBy(*of_value, "rule", "order").agg(F.count_distinct("key").alias("keys"), F.min("ref_id").alias("ref_id"))
+    judged = judged.where((F.col("rule") != 1) | (F.col("order") % 3 == 0) | (F.col("keys") == 1))
+    best = judged.groupBy(*of_value).agg(F.min(F.struct("rule", "order", "ref_id")).alias("b"))
+    distance = F.when(F.col("b.rule") == 2, F.col("b.order")).otherwise(F.col("b.rule"))
+    return values.join(best, of_value, "left").select(*of_value, F.coalesce("b.ref_id", F.lit(0)).cast("long").alias("ref_id"), distance.alias("distance"))
 
 
 KEYS = ("Department", "Material", "Color", "Closure")
 
 
-def typed_values(catalog: DataFrame) -> DataFrame:
-    """(listing_id, field, value): store and the four keys of details of each distinct listing, null and blank ones left out."""
-    columns = [F.col("store").alias("v_store"), *[F.col("details")[k].alias(f"v_{k}") for k in KEYS]]
-    rows = latest(catalog, "listing_id", columns)
+#: Mapped values that are sent to all workers; more are joined, hot ones salted.
+SENT, SALTS = 200_000, 16
+
+
+def _typed(rows: DataFrame) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"v_{f}").alias("value")) for f in ("store", *KEYS)])
     return rows.select("listing_id", F.explode(pairs).alias("x")).select("listing_id", "x.field", "x.value").where("value is not null and trim(value) <> ''")
 
 
+def _columns() -> list:
+    return [F.col("store").alias("v_store"), *[F.col("details")[k].alias(f"v_{k}") for k in KEYS]]
+
+
+def typed_values(catalog: DataFrame) -> DataFrame:
+    """(listing_id, field, value): store and the four keys of details of each distinct listing, null and blank ones left out."""
+    return _typed(latest_of_wide(catalog, "listing_id", _columns()))
+
+
 def mapped_listings(catalog: DataFrame, refs: DataFrame) -> DataFrame:
     """(listing_id, field, ref_id) of every typed value that is not itself a canonical name of its field.
 
     ref_id is 0 where no entry lies within the allowed edits.  One field has one row per listing at most.
     """
     exact = refs.select("field", F.col("canonical_name").alias("value")).distinct()
-    typed = typed_values(catalog).join(exact, ["field", "value"], "left_anti")
-    return typed.join(map_values(typed, refs), ["field", "value"]).select("listing_id", "field", "ref_id")
+    # values of all rows, older copies among them: what is mapped in vain meets no row
+    distinct = _typed(catalog.select("listing_id", *_columns())).select("field", "value").distinct().join(exact, ["field", "value"], "left_anti")
+    mapped = stage(map_values(distinct, refs).select("field", "value", "ref_id"), "mapped")
+    typed, on = typed_values(catalog), ["field", "value"]
+    if mapped.count() <= SENT:
+        return typed.join(F.broadcast(mapped), on).select("listing_id", "field", "ref_id")
+    typed = typed.withColumn("salt", F.pmod(F.xxhash64("listing_id"), F.lit(SALTS)).cast("int"))
+    mapped = mapped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return typed.join(mapped, [*on, "salt"]).select("listing_id", "field", "ref_id")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.latest import latest
+from ..operators.latest import latest_of_wide
 from ..session import stage
 from .arrow import batch_of, words
 
@@ -111,7 +111,7 @@ def _some_postings(window: int, common, take_common: bool):
 
 def _texts(catalog: DataFrame) -> DataFrame:
     text = F.concat_ws(" ", "title", "features", "description").alias("text")
-    return latest(catalog, "listing_id", [text])
+    return latest_of_wide(catalog, "listing_id", [text])
 
 
 def _records(catalog: DataFrame) -> DataFrame:

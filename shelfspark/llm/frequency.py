@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import numpy as np
 
-from ..operators.latest import latest
+from ..operators.latest import latest_of_wide
 from .arrow import batch_of, words
 
 #: Sizes in bytes at which a sorted list of 16-bit positions gives way to a bit set of 65,536 bits.
@@ -119,7 +119,7 @@ def term_frequencies(catalog: DataFrame, rare: int = 2, common: float = 0.2) ->
     'common' for more than the share `common` of all listings, those without the field included, else 'useful'; a
     term that is both is 'rare'.  A null or blank title, level or list has no terms.  An empty table gives no rows.
     """
-    rows = latest(catalog.select("listing_id", "title", "categories", "loaded_at"), "listing_id", ["title", "categories"])
+    rows = latest_of_wide(catalog.select("listing_id", "title", "categories", "loaded_at"), "listing_id", ["title", "categories"])
     postings = rows.select("listing_id", "title", "categories").mapInArrow(_vertical, "field string, term string, chunk long, occurrences long, bitmap binary")
     keys = ["field", "term", "chunk"]
     cards = postings.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merged, "field string, term string, occurrences long, records long")

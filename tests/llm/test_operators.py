@@ -105,23 +105,39 @@ def test_mapping_is_the_same_over_shards(spark, refs):
     assert rows_of(canonical.map_values(values, refs)) == rows_of(canonical.map_values(values, refs, shard_entries=2, task_values=2))
 
 
+@pytest.mark.parametrize("entries", [1, 2, 7])
+def test_what_is_one_entry_is_judged_over_all_shards(spark, entries):
+    names = ["bluebell", "bluebird", "crimson", "grn", "green", "amber", "teal", "umber", "wool", "linen", "cotton", "silk", "rayon", "nylon"]
+    refs = spark.createDataFrame([(i + 1, "Color", n) for i, n in enumerate(names)], "ref_id long, field string, canonical_name string")
+    values = spark.createDataFrame([("Color", v) for v in ("blueb", "crims", "grn", "crmsn", "umbr", "ambr", "ttttt", "cottn")], "field string, value string")
+    got = {r["value"]: (r["ref_id"], r["distance"]) for r in canonical.map_values(values, refs, shard_entries=entries, task_values=3).collect()}
+    assert got == {r["value"]: (r["ref_id"], r["distance"]) for r in canonical.map_values(values, refs).collect()}
+    assert got["blueb"] == (0, None) and got["crims"] == (3, 1) and got["grn"] == (4, 0)
+
+
+def test_long_and_foreign_values_are_compared_whole(spark):
+    refs = spark.createDataFrame([(1, "store", "a" * 40 + "bbbb"), (2, "store", "一" * 5), (3, "store", "c" * 300)], "ref_id long, field string, canonical_name string")
+    values = spark.createDataFrame([("store", "a" * 40 + "q" * 20), ("store", "严" * 5), ("store", "一" * 4 + "严"), ("store", "c" * 299 + "x"), ("store", "z" * 200_000)], "field string, value string")
+    got = {r["value"]: r["ref_id"] for r in canonical.map_values(values, refs).collect()}
+    assert list(got.values()).count(0) == 3 and got["一" * 4 + "严"] == 2 and got["c" * 299 + "x"] == 3
+
+
 def test_tree_equals_brute_force():
     rng = random.Random(3)
     names = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(300)]
     tree = canonical.BKTree([(n, i) for i, n in enumerate(names[:150])])
     asked = names[150:]
-    codes, lengths = canonical.encode(tree.keys)
     for text, got in zip(asked, tree.search(asked)):
-        c, n = canonical.encode([text] * len(tree.keys))
-        apart = canonical.distances(c, n, codes, lengths).tolist()
-        want = min(((d, tree.ids[k]) for d, k in zip(apart, tree.keys) if d <= canonical.allowed(len(text))), default=None)
-        assert got == want
+        c, n = canonical.encode([text] * len(tree.keys), tree.letters)
+        apart = canonical.distances(c, n, tree.codes, tree.lengths, len(tree.letters)).tolist()
+        assert got == sorted((d, i) for d, k in zip(apart, tree.keys) for i in tree.ids[k] if d <= canonical.allowed(len(text)))
 
 
 def test_swaps_count_as_one_edit_and_edges(catalog, refs):
-    a, n = canonical.encode(["ab", "ca", "abcd", ""])
-    b, m = canonical.encode(["ba", "abc", "acbd", "xy"])
-    assert canonical.distances(a, n, b, m).tolist() == [1, 2, 1, 2]
+    letters = canonical.alphabet(["abcdxy"])
+    a, n = canonical.encode(["ab", "ca", "abcd", ""], letters)
+    b, m = canonical.encode(["ba", "abc", "acbd", "xy"], letters)
+    assert canonical.distances(a, n, b, m, len(letters)).tolist() == [1, 2, 1, 2]
     rows = [*EDGE, {"listing_id": 5, "store": "Drearkflesh", "details": {"Color": "black"}}, {"listing_id": 6, "store": "drearkflesh "}]
     assert rows_of(canonical.mapped_listings(catalog(rows), refs)) == [(5, "Color", 4), (6, "store", 1)]
     assert canonical.mapped_listings(catalog(rows).where("false"), refs).count() == 0
@@ -271,8 +287,8 @@ def test_a_family_of_a_third_of_the_texts_is_found_whole(spark, monkeypatch, sal
 def test_copies_do_not_make_their_shingles_common(spark):
     texts = [" ".join(f"w{i}" for i in range(60))] * 500 + [" ".join(f"{k}v{i}" for i in range(60)) for k in range(20)]
     df = spark.createDataFrame(list(enumerate(texts)), "listing_id long, text string").withColumn("loaded_at", F.current_timestamp()).coalesce(1)
-    profile = df.select("listing_id", "loaded_at", "text").mapInArrow(neardup._profile(3, 40), "listing_id long, loaded_at timestamp, class long, n int, sketch array<long>, part long, counts binary")
-    count, rarity = neardup.rarity_table(profile)
+    profile = df.select("listing_id", "loaded_at", "text").mapInArrow(neardup._profile(3, 40, 1 << 16), "listing_id long, loaded_at timestamp, class long, n int, sketch array<long>, part long, counts binary")
+    count, rarity = neardup.rarity_table(profile, 1 << 16)
     assert count == 21 and (rarity > 0).all()
 
 
