@@ -47,6 +47,7 @@ def queries() -> dict:
         "p9_shares": lambda s, d: mixing.mixing_report(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p9_mix": _mix,
         "p10_found": lambda s, d: repetition.repetitive_documents(table(s, d, "documents")),
+        "p10_cutoffs": lambda s, d: repetition.rejection_report(table(s, d, "documents")),
         "p10_shares": lambda s, d: repetition.repetition(table(s, d, "documents")),
     }
 

@@ -343,9 +343,21 @@ def test_mix_meets_weights_and_caps(spark):
 def test_shares_move_over_time(spark):
     sized = spark.createDataFrame([(i, s, f"{s}{i:064d}", 10) for s in ("a", "b") for i in range(500)], "doc_id long, source string, text_hash string, n_tokens long")
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, weight double, max_repeats int")
-    early = Counter(r["source"] for r in mixing.mixture(sized, targets, 0.8).where("position < 0.25").collect())
-    flat = Counter(r["source"] for r in mixing.mixture(sized, targets, 0.0).where("position < 0.25").collect())
-    assert early["b"] > 2 * early["a"] and abs(flat["a"] - flat["b"]) <= 4
+    schedule = spark.createDataFrame([("a", 0.0, 1.0), ("b", 0.0, 9.0), ("a", 0.5, 1.0), ("b", 0.5, 1.0), ("a", 1.0, 9.0), ("b", 1.0, 1.0)], "source string, time double, share double")
+    mix = mixing.mixture(sized, targets, schedule).collect()
+    fifths = Counter(int(r["position"] * 5) for r in mix)
+    assert len(mix) == 1000 and all(abs(n - 200) <= 4 for k, n in fifths.items() if k < 5)  # positions are training time
+    early = Counter(r["source"] for r in mix if r["position"] < 0.25)
+    assert early["b"] > 2 * early["a"]
+    flat = Counter(r["source"] for r in mixing.mixture(sized, targets).where("position < 0.25").collect())
+    assert abs(flat["a"] - flat["b"]) <= 4
+
+
+def test_default_schedule_keeps_weights(spark):
+    targets = spark.createDataFrame([("a", 0.9, 1), ("b", 0.09, 2), ("c", 0.01, 3)], "source string, weight double, max_repeats int")
+    rows = mixing.default_schedule(targets).collect()
+    assert all(r["share"] >= 0 for r in rows) and all(abs(sum(r["share"] for r in rows if r["time"] == t) - 1) < 1e-9 for t in (0.0, 1.0))
+    assert {r["source"]: round(r["area"], 9) for r in mixing.integrated(mixing.default_schedule(targets)).collect()} == {"a": 0.9, "b": 0.09, "c": 0.01}
 
 
 # ---- 10: repetition
@@ -360,7 +372,8 @@ def test_repeated_words_equal_brute_force():
     rng = random.Random(8)
     for _ in range(300):
         w = [rng.choice("abc") for _ in range(rng.randint(0, 40))]
-        assert repetition.repeated_words(w) == brute_repeated(w)
+        count, starts = repetition.repeated_words(w)
+        assert count == brute_repeated(w) <= 5 * starts
 
 
 def test_repetition_edges(spark):
@@ -375,14 +388,26 @@ def test_repetition_edges(spark):
 
 
 def test_cutoffs_keep_their_promise():
-    assert repetition.certified(0, [0] * 25, 0.02, 0.05) == (0.25, False)
-    few = repetition.certified(20, [0] * 25, 0.02, 0.05)
-    assert few == (0.25, False)  # too few clean texts to show anything
-    many = repetition.certified(5000, [0] * 20 + [5000] * 5, 0.02, 0.05)
+    assert repetition.certified(0, [0] * 100, 0.02, 0.05) == (1.0, False)
+    few = repetition.certified(20, [0] * 100, 0.02, 0.05)
+    assert few == (1.0, False)  # too few clean texts to show anything
+    many = repetition.certified(5000, [0] * 20 + [5000] * 80, 0.02, 0.05)
     assert many[1] and many[0] == pytest.approx(repetition.CUTOFFS[19])
     assert repetition.log_binomial_cdf(1, 3, 0.5) == pytest.approx(np.log(0.5))
 
 
+def test_cutoffs_come_from_labels_and_are_judged_elsewhere(spark):
+    rng = random.Random(12)
+    rows = [(i, "s" if i % 3 else "t", 100, 0, rng.random() * 0.3 if i % 5 else 0.6 + rng.random() * 0.4) for i in range(6000)]
+    measured = spark.createDataFrame(rows, "doc_id long, stratum string, n_words long, words_repeated long, score double")
+    labels = spark.createDataFrame([(i, i % 5 != 0) for i in range(6000)], "doc_id long, clean boolean")
+    found, report = repetition.judged(measured, labels)
+    got = {r["stratum"]: r for r in report.collect()}
+    assert all(r["certified"] and 0.25 < r["cutoff"] < 0.35 and r["clean_rejected"] <= 0.03 * r["clean_judged"] for r in got.values())
+    assert found.where("not clean and not rejected").count() == 0
+    assert repetition.judged(measured.where("false"), labels)[1].count() == 0
+
+
 def test_llm_is_imported_by_nothing_else():
     from pathlib import Path
 
