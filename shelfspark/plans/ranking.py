@@ -175,8 +175,8 @@ def pool_entropy(s, d):
 
 
 def valid_recommendations(s, d):
-    """Each recorded list in score order, with an unknown id and a repeat put in, cut to its first ten valid ids."""
-    rows = _ranks(s, d).where("rank <= 12").groupBy(*LIST).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "candidate_asin"))), lambda x: x["candidate_asin"]).alias("a"))
+    """Each recorded list in score order, with an unknown id and a repeat put in: its first ten valid ids."""
+    rows = _ranks(s, d).groupBy(*LIST).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "candidate_asin"))), lambda x: x["candidate_asin"]).alias("a"))
     lists = rows.select(*LIST, F.concat(F.array(F.lit("unknown")), F.slice("a", 1, 1), F.col("a")).alias("items"))
     return evaluate.valid_lists(lists, table(s, d, "catalog"))
 
@@ -410,7 +410,7 @@ round(avg((contribution > 1e-12)::INTEGER), 6) AS against_rate, round(max(contri
     "list_commitment": f"WITH {_RANKS} SELECT session_id, turn, round(CASE WHEN count(*) < 2 THEN 1.0 WHEN max(score) <= 0 THEN 0.0 ELSE least(1.0, stddev_pop(score) / abs(max(score))) END, 6) AS nqc FROM ranks WHERE rank <= 10 GROUP BY ALL",
     "pool_entropy": f"""WITH {sql.PRODUCT}, {_TRACE}, p AS (SELECT session_id, turn, coalesce(nullif(brand_key, ''), '__missing__') AS part, count(*) AS n FROM (SELECT DISTINCT session_id, turn, candidate_asin FROM trace) JOIN product ON parent_asin = candidate_asin GROUP BY ALL),
 q AS (SELECT *, n / sum(n) OVER (PARTITION BY session_id, turn) AS pr FROM p) SELECT session_id, turn, round(-sum(pr * log2(pr)), 6) AS entropy FROM q GROUP BY ALL""",
-    "valid_recommendations": f"""WITH {_RANKS}, known AS (SELECT DISTINCT trim(parent_asin) AS parent_asin FROM catalog WHERE trim(parent_asin) <> ''), r AS (SELECT session_id, turn, candidate_asin AS parent_asin, rank FROM ranks WHERE rank <= 12 AND candidate_asin IN (SELECT parent_asin FROM known))
+    "valid_recommendations": f"""WITH {_RANKS}, known AS (SELECT DISTINCT trim(parent_asin) AS parent_asin FROM catalog WHERE trim(parent_asin) <> ''), r AS (SELECT session_id, turn, candidate_asin AS parent_asin, rank FROM ranks WHERE candidate_asin IN (SELECT parent_asin FROM known))
 SELECT session_id, turn, parent_asin, row_number() OVER (PARTITION BY session_id, turn ORDER BY rank)::INTEGER AS place FROM r QUALIFY place <= 10""",
     "intent_cards": f"WITH {_CARDS} SELECT listing_id, target_category, array_to_string(hard, ' | ') AS hard, array_to_string(soft, ' | ') AS soft FROM cards",
     "constraint_classes": f"WITH {_CARDS}, v AS (SELECT unnest(list_concat(hard, soft)) AS v FROM cards) SELECT {_CLASS} AS attribute, count(*) AS n, sum(length(v))::BIGINT AS chars FROM v GROUP BY 1",

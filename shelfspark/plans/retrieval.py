@@ -32,7 +32,8 @@ def searched(rows: DataFrame, depth: int) -> DataFrame:
     """Per-field scores of the query set; the index is built once, as a table."""
     canonical = stage(_canonical(rows), "stems")
     index = stage(lexical.postings(rows, canonical), "postings")
-    return lexical.bm25_scores(index, rows, lexical.query_terms(title_queries(rows), canonical), depth)
+    shares, stats = stage(lexical.weighed(index, rows), "shares"), stage(lexical.term_stats(index, rows), "terms")
+    return lexical.bm25_scores(shares, stats, lexical.query_terms(title_queries(rows), canonical), depth)
 
 
 def token_counts(s, d):
@@ -118,9 +119,13 @@ def ngram_norms(s, d):
     return ngrams.doc_norms(index, ngrams.gram_stats(index, texts)).select("doc_id", F.round("norm", 4).alias("norm"))
 
 
+def _dense(rows: DataFrame, depth: int) -> DataFrame:
+    texts = _texts(rows)
+    return ngrams.cosine_scores(stage(ngrams.gram_postings(texts), "grams"), texts, title_queries(rows), depth)
+
+
 def ngram_cosine_topk(s, d):
-    rows = _products(s, d)
-    return ngrams.cosine_scores(_texts(rows), title_queries(rows), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return _dense(_products(s, d, True), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def vector_cosine_topk(s, d):
@@ -130,18 +135,24 @@ def vector_cosine_topk(s, d):
 
 def fused(rows: DataFrame) -> DataFrame:
     mixed = lexical.field_mixture(searched(rows, 200))
-    return fusion.convex_combine(mixed, ngrams.cosine_scores(_texts(rows), title_queries(rows), 150))
+    return fusion.convex_combine(mixed, _dense(rows, 150))
 
 
 def convex_fusion(s, d):
     return lexical.top(fused(_products(s, d, True)), ["query_id"], 20).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _span_lists(s, d):
-    """The first two features of four to forty characters of each query listing."""
+def _phrases(s, d) -> DataFrame:
+    """(query_id, phrases): the distinct feature phrases of each query listing, in lower case, blank ones left out."""
     rows = cat.ingest(table(s, d, "catalog")).where("listing_id % 50 = 0")
-    kept = F.filter(F.coalesce("features", F.array().cast("array<string>")), lambda x: F.length(x).between(4, 40) & (F.instr(x, "  ") == 0))
-    return rows.select(F.col("listing_id").alias("query_id"), F.slice(F.transform(kept, F.lower), 1, 2).alias("spans"))
+    kept = F.filter(F.coalesce("features", F.array().cast("array<string>")), lambda x: F.trim(x) != "")
+    return rows.select(F.col("listing_id").alias("query_id"), F.array_distinct(F.transform(kept, F.lower)).alias("phrases"))
+
+
+def _span_lists(s, d):
+    """What a customer of each query listing would state: its two shortest phrases, equally long ones in alphabetical order."""
+    short = F.transform(F.array_sort(F.transform("phrases", lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), lambda y: y["x"])
+    return _phrases(s, d).select("query_id", F.slice(short, 1, 2).alias("spans"))
 
 
 def span_survivors(s, d):
@@ -163,9 +174,9 @@ def weak_baseline(s, d):
 
 
 def span_selectivity(s, d):
-    """How many listings hold each feature phrase of the query listings, and how many bits it is worth."""
+    """How many listings hold each distinct feature phrase of the query listings, and how many bits it is worth."""
     rows = _products(s, d, True)
-    spans = _span_lists(s, d).select(F.explode("spans").alias("span")).distinct().select(F.col("span").alias("query_id"), F.array("span").alias("spans"))
+    spans = _phrases(s, d).select(F.explode("phrases").alias("span")).distinct().select(F.col("span").alias("query_id"), F.array("span").alias("spans"))
     counts = fusion.span_survivors(rows, spans).groupBy(F.col("query_id").alias("span")).agg(F.count("*").alias("survivors"))
     n = rows.agg(F.count("*").alias("n"))
     return counts.join(F.broadcast(n)).select("span", "survivors", F.round(F.log2(F.col("n") / F.col("survivors")), 6).alias("bits"))  # one row
@@ -179,8 +190,8 @@ QUERIES = {f.__name__: f for f in (
 _TOKENS = f"tok AS (SELECT token, count(*) AS n FROM (SELECT unnest({sql.surface('text')}) AS token FROM documents) GROUP BY token)"
 _STEMMED = f"list_transform({sql.surface('title')}, lambda t: {sql.stem('t')})"
 _SPANS = (
-    "spans AS (SELECT listing_id AS query_id, list_transform(list_filter(coalesce(features, []), lambda x: length(x) BETWEEN 4 AND 40 AND instr(x, '  ') = 0), lambda x: lower(x))[1:2] AS spans "
-    "FROM listing WHERE listing_id % 50 = 0),\n"
+    "phrase AS (SELECT listing_id AS query_id, list_distinct(list_transform(list_filter(coalesce(features, []), lambda x: trim(x, ' ') <> ''), lambda x: lower(x))) AS phrases FROM listing WHERE listing_id % 50 = 0),\n"
+    "spans AS (SELECT query_id, list_transform(list_sort(list_transform(phrases, lambda x: {'n': length(x), 'x': x}))[1:2], lambda y: y.x) AS spans FROM phrase),\n"
     "survivor AS (SELECT query_id, doc_id FROM spans, product WHERE len(spans) > 0 AND len(list_filter(spans, lambda s: NOT contains(search_blob, s))) = 0)"
 )
 
@@ -224,7 +235,7 @@ FROM doc_stats JOIN (SELECT field, count(*) AS postings, sum(tf)::BIGINT AS toke
 row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e, v.e), 9) DESC, v.vec_id)::INTEGER AS rank FROM v, v q WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id QUALIFY rank <= 10""",
     "convex_fusion": f"WITH {sql.PRODUCT}, {sql.search(200)}, {sql.cosine(150)}, {sql.FUSED} SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY fused.score DESC, doc_id)::INTEGER AS rank FROM fused QUALIFY rank <= 20",
     "weak_baseline": f"WITH {_BASELINE} SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY res.score DESC, doc_id)::INTEGER AS rank FROM res QUALIFY rank <= 10",
-    "span_selectivity": f"WITH {sql.PRODUCT}, {_SPANS}, one AS (SELECT DISTINCT unnest(spans) AS span FROM spans) SELECT span, count(*) AS survivors, round(log2((SELECT count(*) FROM product) / count(*)), 6) AS bits FROM one JOIN product ON contains(search_blob, span) GROUP BY span",
+    "span_selectivity": f"WITH {sql.PRODUCT}, {_SPANS}, one AS (SELECT DISTINCT unnest(phrases) AS span FROM phrase) SELECT span, count(*) AS survivors, round(log2((SELECT count(*) FROM product) / count(*)), 6) AS bits FROM one JOIN product ON contains(search_blob, span) GROUP BY span",
     "span_survivors": f"WITH {sql.PRODUCT}, {_SPANS} SELECT query_id, doc_id FROM survivor",
     "span_injection": f"""WITH {sql.PRODUCT}, {sql.search(200)}, {_SPANS},
 pool AS (SELECT query_id, doc_id FROM mixture QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20)

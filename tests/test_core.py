@@ -81,26 +81,29 @@ def test_bm25_prefers_the_rarer_term_and_breaks_ties_by_id(catalog):
     canonical = stemming.canonical_stems(cat.surface_counts(rows))
     index = lexical.postings(rows, canonical)
     queries = rows.sparkSession.createDataFrame([(9, "hat sock hat")], "query_id long, text string")
-    got = lexical.bm25_scores(index, rows, lexical.query_terms(queries, canonical, ("title",)), 10).orderBy("rank").collect()
+    shares, stats = lexical.weighed(index, rows), lexical.term_stats(index, rows)
+    got = lexical.bm25_scores(shares, stats, lexical.query_terms(queries, canonical, ("title",)), 10).orderBy("rank").collect()
     assert [r["doc_id"] for r in got] == [1, 3, 4, 5]
-    assert lexical.bm25_scores(index, rows, lexical.query_terms(queries.where("query_id < 0"), canonical), 5).count() == 0
+    assert lexical.bm25_scores(shares, stats, lexical.query_terms(queries.where("query_id < 0"), canonical), 5).count() == 0
 
 
 def test_cosine_finds_a_misspelled_title(catalog):
     rows = cat.products(catalog([{"listing_id": i, "parent_asin": f"P{i}", "title": t} for i, t in enumerate(["leather wallet", "cotton shirt", "wool scarf", "silk tie", "linen pants", "denim skirt"])]))
     texts = rows.select("doc_id", F.col("title").alias("text"))
     queries = rows.sparkSession.createDataFrame([(1, "lether walet"), (2, "")], "query_id long, text string")
-    got = ngrams.cosine_scores(texts, queries, 3).where("rank = 1").collect()
+    got = ngrams.cosine_scores(ngrams.gram_postings(texts), texts, queries, 3).where("rank = 1").collect()
     assert [(r["query_id"], r["doc_id"]) for r in got] == [(1, 0)]
 
 
 def test_injection_keeps_candidates_and_spans_never_widen(spark, catalog):
     rows = cat.products(catalog([{"listing_id": i, "parent_asin": f"P{i}", "title": t} for i, t in enumerate(["soft red wool hat", "soft hat", "red wool sock"])]))
-    spans = spark.createDataFrame([(1, ["soft", "wool"]), (2, ["red wool"]), (3, [])], "query_id long, spans array<string>")
+    spans = spark.createDataFrame([(1, ["soft", "wool"]), (2, ["red wool"]), (3, []), (4, ["soft", None]), (5, ["", "oo"]), (6, [""])], "query_id long, spans array<string>")
     survivors = fusion.span_survivors(rows, spans)
-    assert sorted(map(tuple, survivors.collect())) == [(1, 0), (2, 0), (2, 2)]
+    assert sorted(map(tuple, survivors.collect())) == [(1, 0), (2, 0), (2, 2), (5, 0), (5, 2)]
+    assert sorted(map(tuple, fusion.span_survivors(rows, spans, 1).collect())) == sorted(map(tuple, survivors.collect()))
+    assert fusion.span_survivors(rows, spans.where("query_id = 3")).count() == 0
     pool = spark.createDataFrame([(1, 1), (2, 2)], "query_id long, doc_id long")
-    assert sorted(map(tuple, fusion.inject(pool, survivors, spans).collect())) == [(1, 0, True), (1, 1, False), (2, 2, False)]
+    assert sorted(map(tuple, fusion.inject(pool, survivors.where("query_id < 3"), spans).collect())) == [(1, 0, True), (1, 1, False), (2, 2, False)]
 
 
 def test_fusion_divides_by_the_largest(spark):
