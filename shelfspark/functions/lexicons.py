@@ -108,3 +108,16 @@ WEIGHTS = {
     "gender_unknown": -0.01, "brand_unknown": 0.0, "category_unknown": -0.005, "material_unknown": 0.0, "color_unknown": 0.0, "profile_affinity": 0.06, "category_focus": 0.0,
 }
 INTENT_WEIGHTS = {"buying": {"fused": 0.0, "bm25_title": 0.18}, "uncertain": {"fused": 0.0}, "browsing": {}}
+
+# Sessions: what replaces a value, slots a change of mind may clear, and weights of statements, fields and intents.
+REPLACED_CUE = r"\b(?:instead of|rather than|not)\b"
+SOFT_SLOTS = ("materials", "colors", "sizes", "use_cases", "brands")
+IDENTITY_SLOTS = ("categories", "gender")
+DECAY, RECENCY = 0.25, 0.15
+BLENDS = {"title": (1.0, 0.85), "features": (0.35, 1.0), "categories": (1.0, 0.25), "description": (0.3, 0.7), "store": (0.1, 0.6)}
+INTENT_PARTS = {"density": 0.4, "markers": 0.25, "specificity": 0.25, "alignment": 0.1}
+INTENT_BOUNDS = (0.35, 0.65)
+# The customer's templates: the kind asked for, what leads in a requirement, a refusal.
+CATEGORY_PATTERN = r"looking for\s+(.+?)(?:[.,]|$)"
+LEAD_IN_PATTERN = r"(?:requirement is|matters is|need is|want is|preference:)\s*:?\s*(.+)$"
+REFUSAL_PATTERN = r"don'?t have (?:an? )?(?:additional )?preference for (\w+)"

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lexicons import BOILERPLATE, BROWSING_MARKERS, BUYING_MARKERS, COLORS, MATERIALS, NOT_BRANDS, OVERRIDE_MARKERS, SCAFFOLD, SIZES, SPOKEN_AUDIENCE, USE_CASES
+from ..functions.lexicons import (
+    BOILERPLATE, BROWSING_MARKERS, BUYING_MARKERS, CATEGORY_PATTERN, COLORS, LEAD_IN_PATTERN, MATERIALS, NOT_BRANDS, OVERRIDE_MARKERS, REFUSAL_PATTERN, SCAFFOLD, SIZES, SPOKEN_AUDIENCE,
+    USE_CASES,
+)
 from ..functions.text import bigrams, mapped, tokens
 
 SCAFFOLDING = "(?i)(" + "|".join(SCAFFOLD) + ")"
-CATEGORY = r"(?i)looking for\s+(.+?)(?:[.,]|$)"
-LEAD_IN = r"(?i)(?:requirement is|matters is|need is|want is|preference:)\s*:?\s*(.+)$"
-REFUSAL = r"(?i)don'?t have (?:an? )?(?:additional )?preference for (\w+)"
+CATEGORY, LEAD_IN, REFUSAL = f"(?i){CATEGORY_PATTERN}", f"(?i){LEAD_IN_PATTERN}", f"(?i){REFUSAL_PATTERN}"
 
 
 def turns(customer_turns: DataFrame) -> DataFrame:
@@ -77,6 +78,16 @@ def brand_vocabulary(rows: DataFrame) -> DataFrame:
     return kept.groupBy(F.array_join("w", " ").alias("surface")).agg(F.min_by("brand_key", "doc_id").alias("brand_key"))
 
 
+def common_names(vocabulary: DataFrame, commonness: DataFrame, most: float) -> DataFrame:
+    """The vocabulary without one-word names more common than `most` as ordinary words of listings.
+
+    commonness: (term, commonness), see lexical.commonness; a name weighs as its most common term.
+    """
+    single = vocabulary.where(~F.contains("surface", F.lit(" "))).select("surface", F.explode(tokens("surface")).alias("term"))
+    often = single.join(commonness, "term").where(F.col("commonness") > most).select("surface").distinct()
+    return vocabulary.join(often, "surface", "left_anti")
+
+
 def brand_mentions(texts: DataFrame, vocabulary: DataFrame, key: list[str]) -> DataFrame:
     """(key..., brand_key): brands whose name of at most four words occurs in the text."""
     w = F.col("w")
@@ -104,6 +115,13 @@ def category_mentions(texts: DataFrame, rows: DataFrame, key: list[str]) -> Data
     return hits.where("have = need").select(*key, "level")
 
 
+def live_spans(said: Column) -> Column:
+    """Phrases as they are looked for in listings: lower case, distinct, 'color: ' taken off, more than three letters."""
+    lowered = F.filter(F.transform(said, lambda x: F.lower(_squeezed(x))), lambda x: F.length(x) > 3)
+    bare = F.transform(lowered, lambda x: F.when(x.rlike("^color:"), F.trim(F.regexp_replace(x, "^color:", ""))).otherwise(x))
+    return F.array_distinct(F.filter(bare, lambda x: x != ""))
+
+
 def session_texts(parsed: DataFrame) -> DataFrame:
     """Per session and turn: all spans and category phrases up to the turn, lower case and in order."""
     so_far = Window.partitionBy("session_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)  # a session has few turns

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import random
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.lexicons import CARD_COLORS, CARD_MATERIALS, CARD_NOISE, CONSTRAINT_WORDS, INTENT_WEIGHTS
 from ..functions.text import clean_constraint
@@ -32,24 +37,34 @@ def trace(candidates: DataFrame) -> DataFrame:
     return candidates.where("session_id is not null and turn is not null and candidate_asin is not null").distinct()
 
 
-def trace_score(vector: Column, intent: Column) -> Column:
+def trace_score(vector: Column, intent: Column, weights: dict[str, float] = TRACE, own_weights: dict[str, dict[str, float]] = INTENT_WEIGHTS) -> Column:
     """The score of a recorded vector under the linear model of its intent."""
     total = F.lit(0.0)
-    for i, (name, w) in enumerate(TRACE.items()):
+    for i, (name, w) in enumerate(weights.items()):
         weight = F.lit(w)
-        for own, table in INTENT_WEIGHTS.items():
+        for own, table in own_weights.items():
             if name in table:
                 weight = F.when(intent == own, F.lit(table[name])).otherwise(weight)
         total = total + weight * F.coalesce(F.get(vector, F.lit(i)), F.lit(0.0))
     return F.round(total, 9)
 
 
-def replay_ranks(recorded: DataFrame) -> DataFrame:
-    """(session_id, turn, candidate_asin, score, rank) by score, then id."""
-    scored = recorded.select("session_id", "turn", "intent", "candidate_asin", "features", trace_score(F.col("features"), F.col("intent")).alias("score"))
+def replay_ranks(recorded: DataFrame, score: Callable[[Column, Column], Column] = trace_score) -> DataFrame:
+    """(session_id, turn, intent, candidate_asin, features, score, rank) by score, then id.
+
+    score: any expression of a recorded vector and its intent.
+    """
+    scored = recorded.select("session_id", "turn", "intent", "candidate_asin", "features", score(F.col("features"), F.col("intent")).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("session_id", "turn").orderBy(F.col("score").desc(), "candidate_asin")))
 
 
+def agreement(replayed: DataFrame, recorded: DataFrame) -> DataFrame:
+    """One row (agree, disagree): sessions whose best_rank, null for none, is that of the recorded run; others count in neither."""
+    live = recorded.select("sample_id", F.col("best_rank").alias("live_rank"))
+    same = replayed.select("sample_id", "best_rank").join(live, "sample_id").select(F.col("best_rank").eqNullSafe(F.col("live_rank")).alias("same"))
+    return same.agg(F.count_if("same").alias("agree"), F.count_if(~F.col("same")).alias("disagree"))
+
+
 def replay_sessions(ranks: DataFrame, labels: DataFrame, top: int = 10) -> DataFrame:
     """(sample_id, scenario_type, hit, first_hit_turn, best_rank, reciprocal_rank) of every labelled session.
 
@@ -75,13 +90,20 @@ def metrics(sessions: DataFrame) -> DataFrame:
     return rows.select(F.when(F.col("g") == 1, F.lit("all")).otherwise(F.col("scenario_type")).alias("scenario_type"), "sample_count", "hit_rate", "mrr", "mttc", F.round(0.5 * F.col("hit_rate") + 0.3 * F.col("mrr") + 0.2 * efficiency, 6).alias("score"))
 
 
-def gaps(ranks: DataFrame, labels: DataFrame, winners: int = 3) -> DataFrame:
-    """(session_id, turn, winner, feature, delta, contribution) for the items just above the target of each list.
+def deciding_lists(ranks: DataFrame, labels: DataFrame, band: tuple[int, int] = (2, 10)) -> DataFrame:
+    """(session_id, turn, target_rank, target_features): the target in the list of each session's first hit, if its rank is in the band."""
+    hit = replay_sessions(ranks, labels).where(F.col("best_rank").between(*band)).select(F.col("sample_id").alias("session_id"), F.col("first_hit_turn").alias("turn"))
+    target = labels.select(F.col("sample_id").alias("session_id"), F.col("ground_truth.parent_asin").alias("candidate_asin"))
+    own = ranks.join(hit, ["session_id", "turn"]).join(target, ["session_id", "candidate_asin"])
+    return own.select("session_id", "turn", F.col("rank").alias("target_rank"), F.col("features").alias("target_features"))
+
+
+def gaps(ranks: DataFrame, labels: DataFrame, winners: int = 3, band: tuple[int, int] = (2, 10)) -> DataFrame:
+    """(session_id, turn, winner, feature, delta, contribution) for the first items of each deciding list, above its target.
 
     An equi-join on session and turn with an inequality on rank; the rank bound keeps a list's part small.
     """
-    target = labels.select(F.col("sample_id").alias("session_id"), F.col("ground_truth.parent_asin").alias("candidate_asin"))
-    own = ranks.join(target, ["session_id", "candidate_asin"]).select("session_id", "turn", F.col("rank").alias("target_rank"), F.col("features").alias("target_features"))
+    own = deciding_lists(ranks, labels, band)
     above = ranks.where(F.col("rank") <= winners).join(own, ["session_id", "turn"]).where(F.col("rank") < F.col("target_rank"))
     names = F.array(*[F.lit(n) for n in TRACE])
     weights = F.array(*[F.when(F.col("intent") == "buying", F.lit(INTENT_WEIGHTS["buying"].get(n, w))).when(F.col("intent") == "uncertain", F.lit(INTENT_WEIGHTS["uncertain"].get(n, w))).otherwise(F.lit(w)) for n, w in TRACE.items()])
@@ -90,6 +112,16 @@ def gaps(ranks: DataFrame, labels: DataFrame, winners: int = 3) -> DataFrame:
     return rows.select("session_id", "turn", "winner", F.col("p.feature").alias("feature"), F.col("p.delta").alias("delta"), (F.col("p.delta") * F.col("p.weight")).alias("contribution"))
 
 
+def gap_slices(rows: DataFrame, slices: DataFrame, first: int = 3) -> DataFrame:
+    """(slice, value, feature, mean_gap, place): the features with the largest mean gap in each slice.
+
+    slices: (session_id, slice, value), any number of rows per session.
+    """
+    mean = rows.join(slices, "session_id").groupBy("slice", "value", "feature").agg(F.round(F.avg("contribution"), 6).alias("mean_gap"))
+    by = Window.partitionBy("slice", "value").orderBy(F.col("mean_gap").desc(), "feature")
+    return mean.withColumn("place", F.row_number().over(by)).where(F.col("place") <= first)
+
+
 def gap_summary(rows: DataFrame) -> DataFrame:
     """Per feature: mean and largest contribution, how often it is against the target, and its share of all gaps."""
     total = rows.agg(F.sum("contribution").alias("total"))
@@ -157,3 +189,54 @@ def intent_cards(listings: DataFrame) -> DataFrame:
     card = listings.select("listing_id", title.alias("target_category"), F.when(F.size(clean) > 0, clean).otherwise(F.array(title)).alias("c"))
     soft = F.slice("c", 3, 2)
     return card.select("listing_id", "target_category", F.slice("c", 1, 2).alias("hard_constraints"), F.when(F.size(soft) > 0, soft).otherwise(F.slice("c", 1, 1)).alias("soft_preferences"))
+
+
+def given_or_derived(samples: DataFrame, cards: DataFrame) -> DataFrame:
+    """(sample_id, hard, soft, old_value, new_value, message): a sample's own card and change of mind, or those made from its target's listing.
+
+    cards: (parent_asin, hard_constraints, soft_preferences); a sample with neither has nulls.  The turn of a made
+    change of mind is override_turn's.
+    """
+    rows = samples.join(cards, F.col("ground_truth.parent_asin") == F.col("parent_asin"), "left")
+    given = F.col("intent_card").isNotNull() & F.col("behavior").isNotNull()
+    hard, soft = (F.when(given, F.col(f"intent_card.{c}")).otherwise(F.col(c)) for c in ("hard_constraints", "soft_preferences"))
+    old = F.coalesce(F.try_element_at("soft_preferences", F.lit(-1)), F.lit("I prefer a different style."))
+    new = F.coalesce(F.try_element_at("hard_constraints", F.lit(1)), F.lit("Please prioritize the target requirements."))
+    message = F.concat(F.lit("Actually, ignore my earlier preference. What I need is: "), new, F.lit("."))
+    changes = (F.col("scenario_type") == "intent_override") & F.col("hard_constraints").isNotNull()
+    either = lambda name, made: F.when(given, F.col(f"behavior.override.{name}")).when(changes, made)
+    return rows.select("sample_id", hard.alias("hard"), soft.alias("soft"), either("old_value", old).alias("old_value"), either("new_value", new).alias("new_value"), either("message", message).alias("message"))
+
+
+@F.pandas_udf(T.IntegerType())
+def override_turn(keys: pd.Series) -> pd.Series:
+    """The turn, 3 or 4, of a made change of mind; keys: sample id, NUL, scenario.  The generator and its seed are fixed."""
+    return keys.map(lambda key: None if key is None else random.Random(key).choice([3, 4])).astype("Int32")
+
+
+def attribute_yield(cards: DataFrame, attributes: list[str]) -> DataFrame:
+    """(attribute, yield_rate, mean_spans, mean_chars): what asking for an attribute first brings.
+
+    cards: (sample_id, scenario_type, values array) in the order of the card.  At most two values of the attribute are
+    told; 'other' fits any; a sample of the boundary scenario tells nothing.
+    """
+    known = F.transform("values", lambda v: F.named_struct(F.lit("kind"), constraint_class(v), F.lit("value"), v))
+    rows = cards.select("scenario_type", known.alias("known"), F.explode(F.array(*[F.lit(a) for a in attributes])).alias("attribute"))
+    told = F.slice(F.transform(F.filter("known", lambda x: (F.col("attribute") == "other") | (x["kind"] == F.col("attribute"))), lambda x: x["value"]), 1, 2)
+    body = F.concat(F.array_join("told", "; "), F.lit("."))
+    rows = rows.withColumn("told", told).withColumn("body", body)
+    tells = (F.col("scenario_type") != "boundary") & (F.size("told") > 0) & ~F.col("body").rlike("don't have|do not have")
+    spans = F.when(tells, F.size(F.filter(F.split("body", ";"), lambda p: F.trim(p) != ""))).otherwise(0)
+    rows = rows.select("attribute", spans.alias("spans"), F.when(tells, F.length(F.trim("body"))).otherwise(0).alias("chars"))
+    return rows.groupBy("attribute").agg(F.round(F.avg((F.col("spans") > 0).cast("double")), 4).alias("yield_rate"), F.round(F.avg("spans"), 3).alias("mean_spans"), F.round(F.avg("chars"), 1).alias("mean_chars"))
+
+
+def verdicts(pairs: DataFrame) -> DataFrame:
+    """Adds card, target_hits, winner_hits and verdict to pairs of a target and the item just above it.
+
+    pairs: spans (of the target's card), said (how many were live), target_blob, winner_blob.  C: the card can't tell
+    them apart; B: not all of it was said; A: it was, and the ranking failed.
+    """
+    hits = lambda blob: F.size(F.filter("spans", lambda x: F.contains(F.col(blob), x)))
+    rows = pairs.withColumns({"card": F.size("spans"), "target_hits": hits("target_blob"), "winner_hits": hits("winner_blob")})
+    return rows.withColumn("verdict", F.when(F.col("target_hits") <= F.col("winner_hits"), "C").when(F.col("said") < F.col("card"), "B").otherwise("A"))

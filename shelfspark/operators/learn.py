@@ -7,14 +7,92 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
+from . import evaluate
 
 
-def difference_vectors(ranks: DataFrame, labels: DataFrame, winners: int = 3) -> DataFrame:
-    """(session_id, turn, winner, d): the target's vector less the vector of each item ranked above it."""
-    target = labels.select(F.col("sample_id").alias("session_id"), F.col("ground_truth.parent_asin").alias("candidate_asin"))
-    own = ranks.join(target, ["session_id", "candidate_asin"]).select("session_id", "turn", F.col("rank").alias("tr"), F.col("features").alias("tf"))
-    above = ranks.where(F.col("rank") <= winners).join(own, ["session_id", "turn"]).where(F.col("rank") < F.col("tr"))
-    return above.select("session_id", "turn", F.col("candidate_asin").alias("winner"), F.zip_with("tf", "features", lambda a, b: a - b).alias("d"))
+def difference_vectors(ranks: DataFrame, labels: DataFrame, band: tuple[int, int] = (2, 10)) -> DataFrame:
+    """(session_id, turn, winner, d): in each deciding list, the target's vector less that of each item above it."""
+    own = evaluate.deciding_lists(ranks, labels, band)
+    above = ranks.join(own, ["session_id", "turn"]).where(F.col("rank") < F.col("target_rank"))
+    return above.select("session_id", "turn", F.col("candidate_asin").alias("winner"), F.zip_with("target_features", "features", lambda a, b: a - b).alias("d"))
+
+
+DIMENSIONS = ("gender", "brand", "category", "price", "material", "color")
+
+
+def augmented(vectors: DataFrame) -> DataFrame:
+    """d with six entries more: for each constraint, how the target's 'unknown' (neither met nor violated) differs.
+
+    vectors: target_features and features beside d.
+    """
+    names = list(evaluate.TRACE)
+
+    def unknown(c: str, dimension: str):
+        return ((F.get(c, F.lit(names.index(f"{dimension}_satisfied"))) == 0) & (F.get(c, F.lit(names.index(f"{dimension}_violated"))) == 0)).cast("double")
+
+    extra = F.array(*[unknown("target_features", x) - unknown("features", x) for x in DIMENSIONS])
+    return vectors.withColumn("d", F.concat("d", extra))
+
+
+def unit(vectors: DataFrame) -> DataFrame:
+    """d scaled to length 1, which changes no sign; zero vectors stay."""
+    norm = F.sqrt(F.aggregate("d", F.lit(0.0), lambda a, x: a + x * x))
+    return vectors.withColumn("__n", norm).withColumn("d", F.when(F.col("__n") > 0, F.transform("d", lambda x: x / F.col("__n"))).otherwise(F.col("d"))).drop("__n")
+
+
+def _margin(w):
+    weights = F.array(*[F.lit(float(x)) for x in w])
+    return F.aggregate(F.zip_with("d", weights, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+
+
+def satisfied(vectors: DataFrame, w) -> int:
+    """How many vectors lie on the right side of w."""
+    return vectors.where(_margin(w) > 0).count()
+
+
+def perceptron(vectors: DataFrame, size: int, epochs: int = 100) -> tuple[np.ndarray | None, int]:
+    """(w, epochs) with w.d > 0 for every vector, or (None, epochs) if none was found.
+
+    Each epoch adds up the vectors that w fails, one distributed aggregation; success proves that they are separable,
+    failure within the epochs does not prove the contrary.
+    """
+    w = np.zeros(size)
+    for epoch in range(1, epochs + 1):
+        bad = vectors.where(_margin(w) <= 0)
+        row = bad.agg(F.count("*").alias("n"), *[F.sum(F.get("d", F.lit(i))).alias(f"d{i}") for i in range(size)]).first()
+        if not row["n"]:
+            return w, epoch
+        w = w + np.array([row[f"d{i}"] or 0.0 for i in range(size)]) / row["n"]
+    return None, epochs
+
+
+def logistic_fit(vectors: DataFrame, size: int, steps: int = 50, rate: float = 0.5, l2: float = 1e-4) -> np.ndarray:
+    """w that lowers the mean log(1 + exp(-w.d)) with a square penalty; what it satisfies bounds the largest satisfiable set from below."""
+    w, n = np.zeros(size), max(1, vectors.count())
+    for _ in range(steps):
+        g, _bad = _gradient(vectors, w)
+        w = w + rate * (g / n - l2 * w)
+    return w
+
+
+def greedy_subset(vectors: DataFrame, size: int, epochs: int = 50, steps: int = 20) -> tuple[int, np.ndarray | None]:
+    """(how many, w): vectors that one w satisfies: while they are not separable, those that the fit fails worst are left out.
+
+    Of the failed ones, the worse half go in each round, so rounds are few; at least one goes.
+    """
+    while True:
+        n = vectors.count()
+        if not n:
+            return 0, None
+        w, _ = perceptron(vectors, size, epochs)
+        if w is not None:
+            return n, w
+        w = logistic_fit(vectors, size, steps)
+        marked = vectors.withColumn("__m", _margin(w))
+        cut = marked.where("__m <= 0").agg(F.percentile_approx("__m", 0.5, 10_000)).first()[0]
+        if cut is None:
+            return n, w
+        vectors = stage(marked.where(F.col("__m") > cut).drop("__m"), "subset")
 
 
 def _gradient(vectors: DataFrame, w: np.ndarray) -> tuple[np.ndarray, int]:

@@ -220,7 +220,7 @@ def stream_sessions(s, d):
 
 def pairwise_fit(s, d):
     """Violated pairs before each epoch of the pairwise learner on the recorded lists."""
-    vectors = stage(learn.difference_vectors(_ranks(s, d), _targets(s, d)), "pairs")
+    vectors = stage(learn.difference_vectors(_ranks(s, d), _targets(s, d)), "differences")
     _, history = learn.fit_pairwise(vectors, list(evaluate.TRACE.values()), 10)
     return s.createDataFrame(list(enumerate(history)), "epoch int, violated long")
 
@@ -300,9 +300,9 @@ _SESSIONS = _TARGETS + """,
 hits AS (SELECT sample_id, r.turn, rank FROM ranks r JOIN labels ON r.session_id = sample_id AND candidate_asin = target AND rank <= 10 AND r.turn >= from_turn),
 sessions AS (SELECT sample_id, scenario_type, h.rank IS NOT NULL AS hit, h.turn AS first_hit_turn, h.rank AS best_rank, coalesce(1.0 / h.rank, 0.0)::DOUBLE AS reciprocal_rank FROM labels
   LEFT JOIN (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY turn) = 1) h USING (sample_id))"""
-_GAPS = _TARGETS + f""",
+_GAPS = _SESSIONS + f""",
 names AS (SELECT unnest(range(1, {len(evaluate.TRACE) + 1})) AS i, unnest([{sql.listed(evaluate.TRACE)}]) AS feature, unnest([{', '.join(f'{w}::DOUBLE' for w in evaluate.TRACE.values())}]) AS w),
-own AS (SELECT r.session_id, r.turn, rank AS target_rank, features AS tf FROM ranks r JOIN labels ON r.session_id = sample_id AND candidate_asin = target),
+own AS (SELECT r.session_id, r.turn, rank AS target_rank, features AS tf FROM ranks r JOIN sessions s ON r.session_id = s.sample_id AND r.turn = s.first_hit_turn JOIN labels l ON l.sample_id = s.sample_id AND candidate_asin = l.target WHERE s.best_rank BETWEEN 2 AND 10),
 gaps AS (SELECT r.session_id, r.turn, candidate_asin AS winner, feature, features[i] - tf[i] AS delta, (features[i] - tf[i]) *
   CASE {' '.join(f"WHEN intent = '{k}' AND feature = '{f}' THEN {v}::DOUBLE" for k, t in INTENT_WEIGHTS.items() for f, v in t.items())} ELSE w END AS contribution
   FROM ranks r JOIN own o ON r.session_id = o.session_id AND r.turn = o.turn AND r.rank <= 3 AND r.rank < o.target_rank, names)"""

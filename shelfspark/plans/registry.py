@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from ..operators import nested
 from ..sources import table
-from . import ranking, retrieval
+from . import ranking, retrieval, sessions
 
-_PARTS = [retrieval, ranking]
+_PARTS = [retrieval, ranking, sessions]
 
 
 def queries() -> dict:

@@ -54,3 +54,15 @@ def load_settings(defaults: dict, path: str) -> dict:
 def save_settings(settings: dict, path: str) -> None:
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(json.dumps(settings, indent=2, sort_keys=True))
+
+
+def save_weights(weights: dict[str, float], by_intent: dict[str, dict[str, float]], path: str) -> None:
+    """A linear model as a file: the common weights, and those an intent replaces."""
+    save_settings({"weights": weights, "by_intent": by_intent}, path)
+
+
+def load_weights(features: list[str], path: str) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
+    """The model of a file in the order of the features; a feature it lacks weighs 0, one that is not asked for is skipped."""
+    given = json.loads(Path(path).read_text())
+    weights = {f: float((given.get("weights") or {}).get(f, 0.0)) for f in features}
+    return weights, {k: {f: float(w) for f, w in (own or {}).items() if f in weights} for k, own in (given.get("by_intent") or {}).items()}
