@@ -10,7 +10,10 @@ _PARTS = [retrieval, ranking, sessions]
 
 
 def queries() -> dict:
-    out = {"p4_found": lambda s, d: nested.list_elements(table(s, d, "raw_records"))}
+    out = {
+        "p4_found": lambda s, d: nested.list_elements(table(s, d, "raw_records")),
+        "p4_tables": lambda s, d: nested.typed_tables(table(s, d, "raw_records")),
+    }
     for part in _PARTS:
         out |= part.QUERIES
     return out
