@@ -7,6 +7,8 @@ the declared direction of its score, and items are sorted by their projection.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,14 +16,38 @@ from pyspark.sql import functions as F
 #: Lists longer than this are ranked in slices.
 LONG_LIST = 100_000
 SLICES = 64
+#: Long lists that are told apart by name; with more, all lists go the way of long ones.
+SPLIT_LISTS = 50
 
 
 def rank_scores(items: DataFrame, keys: list[str], item: str, scores: dict[str, int]) -> DataFrame:
     """keys, item and r_<score> in (0, 1] for each score: the mean rank of equal values over the list's length.
 
-    scores: name -> 1 if more is better, -1 if less is; null counts as 0.  Lists longer than LONG_LIST are cut at
-    quantiles of the score, each slice is ranked in its own task, and the counts of the lower slices are added.
+    scores: name -> 1 if more is better, -1 if less is; null counts as 0.  Lists are ranked whole, all scores in one
+    shuffle; those longer than LONG_LIST are ranked in slices instead.
     """
+    sizes = items.groupBy(*keys).agg(F.count("*").alias("__length")).where(F.col("__length") > LONG_LIST)
+    long = [F.struct(*keys).eqNullSafe(F.struct(*[F.lit(v).cast(items.schema[k].dataType).alias(k) for k, v in zip(keys, row[:-1])])) for row in sizes.limit(SPLIT_LISTS + 1).collect()]
+    if not long:
+        return _ranked_whole(items, keys, item, scores)
+    if len(long) > SPLIT_LISTS:
+        return _ranked_in_slices(items, keys, item, scores)
+    is_long = functools.reduce(lambda a, b: a | b, long)
+    return _ranked_whole(items.where(~is_long), keys, item, scores).unionByName(_ranked_in_slices(items.where(is_long), keys, item, scores))
+
+
+def _ranked_whole(items: DataFrame, keys: list[str], item: str, scores: dict[str, int]) -> DataFrame:
+    rows = items.select(*keys, item, *[(s * F.coalesce(F.col(n).cast("double"), F.lit(0.0))).alias(f"v_{n}") for n, s in scores.items()])
+    rows = rows.withColumn("length", F.count("*").over(Window.partitionBy(*keys)))
+    for n in scores:
+        rank = F.rank().over(Window.partitionBy(*keys).orderBy(f"v_{n}"))
+        equal = F.count("*").over(Window.partitionBy(*keys, f"v_{n}"))
+        rows = rows.withColumn(f"r_{n}", (rank + (equal - 1) / 2) / F.col("length"))
+    return rows.select(*keys, item, *[f"r_{n}" for n in scores])
+
+
+def _ranked_in_slices(items: DataFrame, keys: list[str], item: str, scores: dict[str, int]) -> DataFrame:
+    """rank_scores for long lists: cut at quantiles of the score, each slice ranked in its own task, the counts of the lower slices added."""
     values = F.array(*[F.struct(F.lit(n).alias("score"), (s * F.coalesce(F.col(n).cast("double"), F.lit(0.0))).alias("value")) for n, s in scores.items()])
     long = items.select(*keys, item, F.explode(values).alias("x")).select(*keys, item, "x.score", "x.value")
     size = long.groupBy(*keys, "score").agg(F.count("*").alias("length"), F.percentile_approx("value", [k / SLICES for k in range(1, SLICES)], 1000).alias("cuts"))
@@ -97,5 +123,5 @@ def scored_candidates(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
 def leaders(candidates: DataFrame, catalog: DataFrame, weights: str = "equal") -> DataFrame:
     """The first item of each list: (session_id, turn, candidate_asin)."""
     ranking = consensus_ranking(scored_candidates(candidates, catalog), LIST, "candidate_asin", SCORES, weights)
-    top = ranking.groupBy(*LIST).agg(F.max("projection").alias("projection"))
-    return ranking.join(top, [*LIST, "projection"]).groupBy(*LIST).agg(F.min("candidate_asin").alias("candidate_asin"))
+    best = F.min_by("candidate_asin", F.struct((-F.col("projection")).alias("p"), F.col("candidate_asin").alias("c")))
+    return ranking.groupBy(*LIST).agg(best.alias("candidate_asin"))
