@@ -15,14 +15,28 @@ def _ranking(s, d):
     return consensus.placed(ranking, consensus.LIST, "candidate_asin").select(*consensus.LIST, "candidate_asin", "projection", "place")
 
 
-def _near_groups(s, d):
-    """listing_id, group_id and the number of links of every listing that takes part in near-duplicate detection."""
+def _near(s, d):
     links, members = neardup.similar_texts(neardup.listing_texts(table(s, d, "catalog")), 3, 0.5, 40)
-    found = components.components(links.select(F.col("class_1").alias("a"), F.col("class_2").alias("b"))).withColumnsRenamed({"node": "class"})
-    many = links.select(F.explode(F.array("class_1", "class_2")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
-    named = stage(members.join(found, "class", "left").join(many, "class", "left").select("listing_id", F.coalesce("component", "class").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "near")
-    names = named.groupBy("component").agg(F.min("listing_id").alias("group_id"))
-    return named.join(names, "component").select("listing_id", "group_id", "links")
+    # a class is named by its smallest listing_id
+    names = stage(members.groupBy("class").agg(F.min("listing_id").alias("class_id")), "names")
+    one, two = (names.select(F.col("class").alias(f"class_{k}"), F.col("class_id").alias(f"id_{k}")) for k in (1, 2))
+    named = links.join(one, "class_1").join(two, "class_2")
+    links = named.select(F.least("id_1", "id_2").alias("class_id_1"), F.greatest("id_1", "id_2").alias("class_id_2"), F.round("similarity", 6).alias("similarity"))
+    return stage(links, "links"), members.join(names, "class").select("listing_id", "class_id")
+
+
+def _near_links(s, d):
+    """Every link between two different texts, as the smallest listing_id of each; p7_groups has the members of both."""
+    return _near(s, d)[0]
+
+
+def _near_groups(s, d):
+    """listing_id, class_id (listings with the same word sequences), group_id and the class's links of every listing that takes part."""
+    links, members = _near(s, d)
+    found = components.components(links.select(F.col("class_id_1").alias("a"), F.col("class_id_2").alias("b"))).withColumnRenamed("node", "class_id")
+    many = links.select(F.explode(F.array("class_id_1", "class_id_2")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    rows = members.join(found, "class_id", "left").join(many, "class_id", "left")
+    return rows.select("listing_id", "class_id", F.coalesce("component", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def _mix(s, d):
@@ -42,6 +56,7 @@ def queries() -> dict:
         "p6_groups": lambda s, d: sameitem.item_groups(table(s, d, "catalog"), table(s, d, "ref_values")),
         "p7_found": lambda s, d: neardup.near_duplicate_listings(table(s, d, "catalog")),
         "p7_groups": _near_groups,
+        "p7_links": _near_links,
         "p8_ids": lambda s, d: tokens.encode_documents(table(s, d, "documents")),
         "p9_found": lambda s, d: mixing.unreachable_sources(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p9_shares": lambda s, d: mixing.mixing_report(table(s, d, "documents"), table(s, d, "mix_targets")),
@@ -62,6 +77,15 @@ marked AS (SELECT field, term, occurrences, records, CASE WHEN records <= 2 THEN
 _ALL = "concat_ws(' ', title, array_to_string(features, ' '), array_to_string(description, ' '))"
 _BODY = "concat_ws(' ', array_to_string(features, ' '), array_to_string(description, ' '))"
 
+_SIMILAR = f"""{_LISTING}, w AS (SELECT listing_id, {_WORDS(_BODY)} AS w FROM listing),
+sh AS (SELECT DISTINCT listing_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 40),
+size AS (SELECT listing_id, count(*) AS n FROM sh GROUP BY listing_id),
+pair AS (SELECT a.listing_id AS listing_id_1, b.listing_id AS listing_id_2, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.listing_id < b.listing_id GROUP BY ALL),
+similar_pair AS (SELECT listing_id_1, listing_id_2, c / (x.n + y.n - c) AS j FROM pair JOIN size x ON x.listing_id = listing_id_1 JOIN size y ON y.listing_id = listing_id_2 WHERE 2 * c >= x.n + y.n - c)"""
+_CLASSES = """named AS (SELECT listing_id, string_agg(s, '|' ORDER BY s) AS content FROM sh GROUP BY listing_id),
+member AS (SELECT listing_id, min(listing_id) OVER (PARTITION BY content) AS class_id FROM named),
+link AS (SELECT DISTINCT least(a.class_id, b.class_id) AS class_id_1, greatest(a.class_id, b.class_id) AS class_id_2, round(j, 6) AS similarity FROM similar_pair JOIN member a ON a.listing_id = listing_id_1 JOIN member b ON b.listing_id = listing_id_2 WHERE a.class_id <> b.class_id)"""
+
 _ORACLE = {
     "p1_found": f"WITH {_TERMS} SELECT field, term, mark FROM marked WHERE mark <> 'useful'",
     "p1_terms": f"WITH {_TERMS} SELECT field, term, occurrences, records, mark FROM marked",
@@ -77,11 +101,13 @@ c AS (SELECT DISTINCT session_id, turn, candidate_asin, coalesce(bm25, 0) AS bm2
 v AS (SELECT session_id, turn, candidate_asin, bm25, fused, coalesce(rn, 0) AS rn, coalesce(ar, 0) AS ar FROM c LEFT JOIN r ON parent_asin = candidate_asin),
 k AS (SELECT session_id, turn, candidate_asin, """ + " + ".join(f"rank() OVER (PARTITION BY session_id, turn ORDER BY {x}) + (count(*) OVER (PARTITION BY session_id, turn, {x}) - 1) / 2" for x in ("rn", "ar", "bm25", "fused")) + """ AS s FROM v)
 SELECT session_id, turn, candidate_asin FROM k QUALIFY row_number() OVER (PARTITION BY session_id, turn ORDER BY s DESC, candidate_asin) = 1""",
-    "p7_found": f"""WITH {_LISTING}, w AS (SELECT listing_id, {_WORDS(_BODY)} AS w FROM listing),
-sh AS (SELECT DISTINCT listing_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 40),
-size AS (SELECT listing_id, count(*) AS n FROM sh GROUP BY listing_id),
-pair AS (SELECT a.listing_id AS listing_id_1, b.listing_id AS listing_id_2, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.listing_id < b.listing_id GROUP BY ALL)
-SELECT listing_id_1, listing_id_2 FROM pair JOIN size x ON x.listing_id = listing_id_1 JOIN size y ON y.listing_id = listing_id_2 WHERE 2 * c >= x.n + y.n - c""",
+    "p7_found": f"WITH {_SIMILAR} SELECT listing_id_1, listing_id_2 FROM similar_pair",
+    "p7_links": f"""WITH {_SIMILAR}, {_CLASSES} SELECT class_id_1, class_id_2, similarity FROM link""",
+    "p7_groups": f"""WITH RECURSIVE {_SIMILAR}, {_CLASSES},
+both_ways AS (SELECT class_id_1 AS a, class_id_2 AS b FROM link UNION SELECT class_id_2, class_id_1 FROM link),
+reach AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, w.b FROM reach r JOIN both_ways w ON w.a = r.other),
+comp AS (SELECT node, least(node, min(other)) AS component FROM reach GROUP BY node), many AS (SELECT a AS node, count(*) AS links FROM both_ways GROUP BY a)
+SELECT listing_id, class_id, coalesce(component, class_id) AS group_id, coalesce(links, 0) AS links FROM member LEFT JOIN comp ON comp.node = class_id LEFT JOIN many ON many.node = class_id""",
     "p10_found": f"""WITH w AS (SELECT doc_id, {_WORDS('text')} AS w FROM documents WHERE text IS NOT NULL),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS pos, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS run FROM w WHERE len(w) > 5),
 again AS (SELECT doc_id, pos FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) > 1),
