@@ -221,9 +221,9 @@ def separability(s, d):
     """Losing pairs, how many one weight vector satisfies by fit and by the greedy subset, and whether all are separable."""
     size = len(evaluate.TRACE) + len(learn.DIMENSIONS)
     vectors = stage(_differences(s, d), "differences")
-    w, _ = learn.perceptron(vectors, size, 20)
-    fit = learn.satisfied(vectors, learn.logistic_fit(vectors, size, 10))
-    most, _ = learn.greedy_subset(vectors, size, 10, 5)
+    w, _ = learn.perceptron(vectors, size, 10)
+    fit = learn.satisfied(vectors, learn.logistic_fit(vectors, size, 5))
+    most, _ = learn.greedy_subset(vectors, size, 5, 3)
     return s.createDataFrame([(vectors.count(), fit, most, w is not None)], "pairs long, satisfied long, subset long, separable boolean")
 
 
