@@ -158,6 +158,12 @@ def test_metrics_with_one_hit_and_one_miss(spark):
     assert evaluate.metrics(rows.where("false")).where("sample_count > 0").count() == 0
 
 
+def test_gap_means_at_a_half_do_not_hang_on_the_order_of_rows(spark):
+    # (0.457349 + 0.816812) / 2 is 0.6370805, in floats a little less
+    rows = spark.createDataFrame([("x", 0.457349), ("x", 0.816812), ("y", -0.457349), ("y", -0.816812)], "feature string, contribution double")
+    assert {r["feature"]: r["mean_gap"] for r in evaluate.gap_summary(rows).collect()} == {"x": 0.637081, "y": -0.637081}
+
+
 def test_commitment_edges(spark):
     rows = [("one", 1, 0.5), *[("flat", i, 1.0) for i in (1, 2, 3)], ("zero", 1, 0.0), ("zero", 2, 0.0)]
     long = [("long", i, 1.0 if i == 1 else 0.5) for i in range(1, 300)]
