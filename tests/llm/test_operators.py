@@ -206,6 +206,14 @@ def test_same_items(catalog, item_refs):
     assert sameitem.same_item_pairs(catalog(ITEM).where("false"), item_refs).count() == 0
 
 
+@pytest.mark.parametrize("code", ["", "QX14386 "])
+def test_a_model_of_many_sizes_keeps_the_pair_of_one_size(catalog, item_refs, code):
+    # the terms of the model are held by 31 listings, of which two are of one item
+    sizes = [{"listing_id": k, "title": f"Drearkflesh Navje Saile {code}leggings Linen {100 * k} mm", "store": "Drearkflesh"} for k in range(1, 31)]
+    other = {"listing_id": 50, "title": f"Drearkflesh Navje Saile Tovarn {code}leggings Linen 1000 mm", "store": "Some Reseller"}
+    assert rows_of(sameitem.same_item_pairs(catalog([*sizes, other]), item_refs)) == [(10, 50)]
+
+
 def test_large_groups_hang_on_their_smallest_id(catalog, item_refs, monkeypatch):
     monkeypatch.setattr(sameitem, "EXPANDED", 2)
     got = rows_of(sameitem.same_item_pairs(catalog([ITEM[0], ITEM[1], ITEM[0] | {"listing_id": 20}]), item_refs))
