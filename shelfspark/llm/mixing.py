@@ -8,6 +8,8 @@ stretch gives the position, a training time, and the mix is range-sorted by it.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,40 +90,101 @@ def sized_documents(documents: DataFrame, path: str = DEFAULT_TOKENIZER) -> Data
     return count_tokens(packed, path).select("doc_id.doc_id", "doc_id.source", "doc_id.text_hash", "n_tokens")
 
 
-def mixture(sized: DataFrame, targets: DataFrame, schedule: DataFrame | None = None) -> DataFrame:
-    """(position, doc_id, source, pass, n_tokens) sorted by position: the training order of the mix.
+def laid_out(units: DataFrame, key: str) -> DataFrame:
+    """units with upto and all_tokens: the tokens of a key's units up to each one's end, in a hashed order, and of all.
 
-    Rows with the same text are one unit, named by its smallest doc_id and that row's source, so no text is used more
-    than max_repeats times.  Each source gives whole passes over its units and, in the last pass, the units the middle
-    of whose stretch lies within the remainder, until its demand or its cap (max_repeats times its units) is met.  A
-    source that its cap keeps below its demand is spread over the whole time.  Texts without tokens are left out, as
-    they add nothing to any share.  schedule: see integrated; default_schedule if none.
+    units: key, text_hash, n_tokens and any others.
     """
-    budgets = source_budgets(sized, targets, schedule).select("source", "max_repeats", "demand", "integral", "pieces")
-    units = (
-        sized.where("n_tokens > 0").join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")  # a row per source
-        .groupBy("text_hash").agg(F.min_by(F.struct("doc_id", "source", "n_tokens"), "doc_id").alias("u"))
-        .select("u.*", F.xxhash64("text_hash").alias("order"))
-    )
-    units = stage(units, "units")
-    # blocks are the leading bits of the hashed order, as many as the source's texts need
-    bits = units.groupBy("source").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / BLOCK))).cast("int").alias("bits"))
-    units = units.join(F.broadcast(bits), "source").withColumn("block", F.expr("if(bits = 0, 0L, shiftrightunsigned(`order`, 64 - bits))"))  # a row per source
-    blocks = units.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"))
-    by_source = Window.partitionBy("source")
+    units = units.withColumn("order", F.xxhash64("text_hash"))
+    # blocks are the leading bits of the hashed order, as many as the key's texts need
+    bits = units.groupBy(key).agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / BLOCK))).cast("int").alias("bits"))
+    units = units.join(bits, key).withColumn("block", F.expr("if(bits = 0, 0L, shiftrightunsigned(`order`, 64 - bits))"))
+    blocks = units.groupBy(key, "block").agg(F.sum("n_tokens").alias("block_tokens"))
+    by_key = Window.partitionBy(key)
     blocks = blocks.select(
-        "source", "block",
-        (F.sum("block_tokens").over(by_source.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_tokens")).alias("before"),
-        F.sum("block_tokens").over(by_source).alias("pass_tokens"),
+        key, "block",
+        (F.sum("block_tokens").over(by_key.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_tokens")).alias("before"),
+        F.sum("block_tokens").over(by_key).alias("all_tokens"),
     )
     # order with its sign bit flipped follows the unsigned order of the blocks
-    inside = Window.partitionBy("source", "block").orderBy(F.col("order").bitwiseXOR(F.lit(-(1 << 63))), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = units.withColumn("upto", F.sum("n_tokens").over(inside)).join(blocks, ["source", "block"])
-    placed = placed.join(F.broadcast(budgets), "source")  # a row per source of targets
-    budget = F.least(F.col("demand"), F.col("max_repeats") * F.col("pass_tokens"))
-    passes = F.ceil(budget / F.col("pass_tokens")).cast("int")
+    inside = Window.partitionBy(key, "block").orderBy(F.col("order").bitwiseXOR(F.lit(-(1 << 63))), "text_hash").rowsBetween(Window.unboundedPreceding, 0)
+    placed = units.withColumn("inside", F.sum("n_tokens").over(inside)).join(blocks, [key, "block"])
+    return placed.withColumn("upto", F.col("before") + F.col("inside")).drop("order", "bits", "block", "before", "inside")
+
+
+def allotted(pools: list[tuple[list[str], float]], wanted: dict[str, float], own: dict[str, float]) -> list[list[float]]:
+    """What part of each pool (its sources, its tokens) each of its sources gets.
+
+    With its own tokens, each source is to have as large a part of what it wants as those it shares with.  The parts of
+    a pool whose sources want nothing are 0.  Pools are shared in proportion to factors of the sources, which are mended
+    until no part moves.
+    """
+    factor = {s: 1.0 for s, x in wanted.items() if x > 0}
+    parts: list[list[float]] = []
+    while True:
+        sums = [sum(factor.get(s, 0.0) for s in sources) for sources, _ in pools]
+        new = [[factor.get(s, 0.0) / total if total else 0.0 for s in sources] for (sources, _), total in zip(pools, sums)]
+        if parts and all(abs(x - y) <= 1e-7 for p, q in zip(parts, new) for x, y in zip(p, q)):
+            return new
+        parts, has = new, {s: own.get(s, 0.0) for s in factor}
+        for (sources, tokens), shares in zip(pools, new):
+            for s, x in zip(sources, shares):
+                if s in has:
+                    has[s] += x * tokens
+        factor = {s: x * wanted[s] / has[s] if has[s] else x for s, x in factor.items()}
+        most = max(factor.values(), default=1.0)
+        factor = {s: x / most for s, x in factor.items()}
+
+
+def units_of(sized: DataFrame, budgets: DataFrame) -> DataFrame:
+    """(source, text_hash, doc_id, n_tokens): each distinct text with tokens once, given to one of its sources.
+
+    A text that only one source of budgets has is that source's, named by its smallest doc_id there.  The texts that the
+    same sources have are dealt among them such that all come as near to their demand, see allotted; if these have no
+    demand, the source of the smallest doc_id has them.
+    """
+    spark = sized.sparkSession
+    rows = sized.where("n_tokens > 0").join(F.broadcast(budgets.select("source").distinct()), "source", "left_semi")  # a row per source
+    each = rows.groupBy("text_hash", "source").agg(F.min_by(F.struct("doc_id", "n_tokens"), "doc_id").alias("u")).select("text_hash", "source", "u.*")
+    # a text has as many holders as sources have it
+    texts = stage(each.groupBy("text_hash").agg(F.sort_array(F.collect_list(F.struct("source", "doc_id", "n_tokens"))).alias("holders")), "texts")
+    alone = texts.where(F.size("holders") == 1).select("text_hash", F.col("holders")[0].alias("u")).select("u.source", "text_hash", "u.doc_id", "u.n_tokens")
+    shared = texts.where(F.size("holders") > 1).select("text_hash", "holders", F.col("holders.source").alias("sources"), F.col("holders")[0]["n_tokens"].alias("n_tokens"))
+    shared = shared.withColumn("pool", F.xxhash64(F.to_json("sources")))
+    pools = shared.groupBy("pool").agg(F.first("sources").alias("sources"), F.sum("n_tokens").alias("tokens")).collect()  # a row per set of sources
+    if not pools:
+        return alone
+    own = {r[0]: float(r[1]) for r in alone.groupBy("source").agg(F.sum("n_tokens")).collect()}  # a row per source
+    once = F.when(F.col("max_repeats") > 0, F.col("demand") / F.col("max_repeats")).otherwise(0.0)
+    wanted = {r[0]: r[1] for r in budgets.select("source", once.cast("double")).collect()}
+    parts = allotted([(p["sources"], float(p["tokens"])) for p in pools], wanted, own)
+    ends = [(p["pool"], list(itertools.accumulate(x))) for p, x in zip(pools, parts)]
+    dealt = laid_out(shared, "pool").join(F.broadcast(spark.createDataFrame(ends, "pool long, ends array<double>")), "pool")
+    middle = (F.col("upto") - F.col("n_tokens") / 2) / F.col("all_tokens")
+    # the sums of the parts may end a last digit below 1
+    first = F.coalesce(F.get(F.filter(F.sequence(F.lit(0), F.size("ends") - 1), lambda i: F.get("ends", i) >= middle), F.lit(0)), F.array_position("ends", F.array_max("ends")).cast("int") - 1)
+    smallest = F.array_min(F.transform("holders", lambda h: F.struct(h["doc_id"].alias("doc_id"), h["source"].alias("source"), h["n_tokens"].alias("n_tokens"))))
+    chosen = F.get("holders", first)
+    given = F.when(F.array_max("ends") > 0, F.struct(*[chosen[c].alias(c) for c in ("doc_id", "source", "n_tokens")])).otherwise(smallest)
+    return alone.unionByName(dealt.select("text_hash", given.alias("u")).select("u.source", "text_hash", "u.doc_id", "u.n_tokens"))
+
+
+def mixture(sized: DataFrame, targets: DataFrame, schedule: DataFrame | None = None) -> DataFrame:
+    """(position, doc_id, source, pass, n_tokens) sorted by position: the training order of the mix.
+
+    Rows with the same text are one unit, so no text is used more than max_repeats times; units_of says which of its
+    sources has a text that several have.  Each source gives whole passes over its units and, in the last pass, the
+    units the middle of whose stretch lies within the remainder, until its demand or its cap (max_repeats times its
+    units) is met.  A source that its cap keeps below its demand is spread over the whole time.  Texts without tokens
+    add nothing to any share and have no position.  schedule: see integrated; default_schedule if none.
+    """
+    budgets = stage(source_budgets(sized, targets, schedule).select("source", "max_repeats", "demand", "integral", "pieces"), "budgets")
+    units = stage(units_of(sized, budgets), "units")
+    placed = laid_out(units, "source").join(F.broadcast(budgets), "source")  # a row per source of targets
+    budget = F.least(F.col("demand"), F.col("max_repeats") * F.col("all_tokens"))
+    passes = F.ceil(budget / F.col("all_tokens")).cast("int")
     copies = placed.withColumn("budget", budget).withColumn("pass", F.explode(F.sequence(F.lit(1), F.greatest(passes, F.lit(1)))))
-    middle = (F.col("pass") - 1) * F.col("pass_tokens") + F.col("before") + F.col("upto") - F.col("n_tokens") / 2
+    middle = (F.col("pass") - 1) * F.col("all_tokens") + F.col("upto") - F.col("n_tokens") / 2
     used = copies.withColumn("middle", middle).where("middle <= budget")
     return used.select(F.round(time_of(F.col("middle") / F.col("budget")), 9).alias("position"), "doc_id", "source", "pass", "n_tokens").orderBy("position", "doc_id", "pass")
 

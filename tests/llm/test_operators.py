@@ -348,6 +348,20 @@ def test_mix_meets_weights_and_caps(spark):
     assert mixing.mixing_report(docs, targets.where("false")).count() == 0
 
 
+def test_texts_of_several_sources_are_dealt_by_demand(spark):
+    # b has no text of its own, c shares some with a and has few; all are b's with larger ids
+    rows = [(i, "a", f"{i:064d}", 10) for i in range(400)] + [(1000 + i, "b", f"{i:064d}", 10) for i in range(300)] + [(2000 + i, "c", f"{i:064d}", 10) for i in range(300, 400)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, text_hash string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.25, 1), ("b", 0.2, 1), ("c", 0.05, 1), ("d", 0.5, 1)], "source string, weight double, max_repeats int")
+    mix = mixing.mixture(sized, targets).collect()
+    assert len({r["doc_id"] % 1000 for r in mix}) == len(mix)  # each text once at most
+    used = Counter(r["source"] for r in mix)
+    # 800 texts are named, of which 400 exist; demands are 200, 160 and 40 of them
+    assert all(abs(used[s] - n) <= 1 for s, n in (("a", 200), ("b", 160), ("c", 40)))
+    even = mixing.mixture(sized.where("source <> 'c'"), spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], targets.schema)).groupBy("source").count()
+    assert {r[0]: r[1] for r in even.collect()} == {"a": 200, "b": 200}
+
+
 def test_shares_move_over_time(spark):
     sized = spark.createDataFrame([(i, s, f"{s}{i:064d}", 10) for s in ("a", "b") for i in range(500)], "doc_id long, source string, text_hash string, n_tokens long")
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, weight double, max_repeats int")
