@@ -300,6 +300,17 @@ def test_copies_do_not_make_their_shingles_common(spark):
     assert count == 21 and (rarity > 0).all()
 
 
+def test_names_are_packed_small_and_whole():
+    part_bits, rest_bits = neardup.name_bits(200_000)
+    draw = np.random.default_rng(1)
+    names, classes = (draw.integers(0, 1 << 64, 300_000, dtype=np.uint64) for _ in range(2))
+    names[1000:2000] = names[:1000]  # names of several holders
+    parts = list(neardup.packed(names, classes, part_bits, rest_bits))
+    assert sum(len(steps) + len(own) for _, steps, own in parts) < 8 * len(names)  # a row of name and class has 16 bytes
+    got = {(part << rest_bits | int(x) >> 32, int(x) & 0xFFFFFFFF) for part, steps, own in parts for x in neardup.unpacked(steps, own)}
+    assert got == set(zip((names >> np.uint64(64 - part_bits - rest_bits)).tolist(), (classes & np.uint64(0xFFFFFFFF)).tolist()))
+
+
 def test_near_duplicate_edges(catalog):
     assert neardup.near_duplicate_listings(catalog(EDGE)).count() == 0
     assert neardup.near_duplicate_listings(catalog(EDGE).where("false")).count() == 0
