@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lexical import top
+from .search import plain_lists
 
 # Words left out of queries and texts, and the columns with their weights; fixed values.
 STOPWORDS = "a an and are as at be but by for from i in is it me my of on or please some that the this to want with would you looking".split()
@@ -20,11 +20,10 @@ def terms(text: Column) -> Column:
 
 
 def column_texts(listings: DataFrame) -> DataFrame:
-    """(doc_id, column, text) of ingested listings; details as 'key value' in the order of keys."""
+    """doc_id and the words of each column of ingested listings; details as 'key value' in the order of keys."""
     details = F.array_join(F.transform(F.array_sort(F.map_entries("details")), lambda e: F.concat_ws(" ", e["key"], e["value"])), " ")
     text = {"title": F.col("title"), "categories": F.concat_ws(" ", "categories"), "features": F.concat_ws(" ", "features"), "details": details, "store": F.col("store"), "description": F.concat_ws(" ", "description")}
-    each = F.array(*[F.struct(F.lit(c).alias("column"), t.alias("text")) for c, t in text.items()])
-    return listings.select(F.col("listing_id").alias("doc_id"), F.explode(each).alias("x")).select("doc_id", "x.column", "x.text")
+    return listings.select(F.col("listing_id").cast("long").alias("doc_id"), *[terms(text[c]).alias(c) for c in COLUMNS])
 
 
 def search(listings: DataFrame, queries: DataFrame, depth: int = 10) -> DataFrame:
@@ -32,14 +31,6 @@ def search(listings: DataFrame, queries: DataFrame, depth: int = 10) -> DataFram
 
     A term's frequency is weighted by column; its rarity counts documents with the term in any column.
     """
-    words = column_texts(listings).select("doc_id", "column", F.explode(terms(F.col("text"))).alias("term"))
-    weight = F.element_at(F.create_map(*[F.lit(x) for kv in COLUMNS.items() for x in kv]), F.col("column"))
-    index = words.groupBy("doc_id", "term").agg(F.sum(weight).alias("tf"), F.count("*").alias("n"))
-    lengths = index.groupBy("doc_id").agg(F.sum("n").alias("dl"))
-    total = listings.agg(F.count("*").alias("docs")).join(lengths.agg(F.sum("dl").alias("words"))).select("docs", (F.col("words") / F.col("docs")).alias("avgdl"))
-    asked = queries.select("query_id", F.explode(F.slice(F.array_distinct(terms(F.col("text"))), 1, 40)).alias("term"))
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    hits = index.join(asked.join(df, "term"), "term").join(lengths, "doc_id").join(F.broadcast(total))  # one row
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return top(hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(gain), 9).alias("score")), ["query_id"], depth)
+    words = column_texts(listings)
+    asked = queries.select("query_id", F.slice(F.array_distinct(terms(F.col("text"))), 1, 40).alias("terms"))
+    return plain_lists(words, list(COLUMNS.values()), asked, depth, K1, B)

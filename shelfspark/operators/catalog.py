@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicons import CATEGORY_NOISE, DEPARTMENTS, TITLE_AUDIENCE
 from ..functions.text import flat, mapped, surface_tokens
+from ..session import stage
+
+#: Repeated ids that are sent to all workers; with more, all rows are shuffled.
+SENT = 200_000
 
 
 def department(value: Column) -> Column:
@@ -42,9 +46,36 @@ def ingest(catalog: DataFrame, keep: str = "first") -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy("parent_asin").orderBy(*at))).where("__n = 1").drop("__n")
 
 
-def products(catalog: DataFrame) -> DataFrame:
-    """The typed product rows; missing text is '', missing numbers are 0, a missing audience is null."""
-    base = ingest(catalog).select(
+def ingest_in_place(catalog: DataFrame) -> DataFrame:
+    """The same rows as ingest, first ones kept, without shuffling the wide rows if few ids repeat.
+
+    A pass over id and time finds the ids that occur more than once.  While these are few they go to the workers, which
+    drop the later rows on reading; only rows that tie are shuffled.  Runs a job.
+    """
+    rows = catalog.withColumn("parent_asin", F.trim("parent_asin")).where("parent_asin is not null and parent_asin <> ''")
+    at = F.struct("loaded_at", "listing_id")
+    times = rows.select("parent_asin", at.alias("__first")).groupBy("parent_asin", "__first").agg(F.count("*").alias("__many"))
+    times = times.groupBy("parent_asin").agg(F.sum("__many").alias("__rows"), F.min_by("__many", "__first").alias("__many"), F.min("__first").alias("__first")).where("__rows > 1")
+    repeated = stage(times.drop("__rows"), "repeated")
+    found = repeated.agg(F.count("*"), F.max("__many")).first()
+    if found[0] > SENT:
+        return ingest(catalog)
+    if not found[0]:
+        return rows
+    known = rows.join(F.broadcast(repeated), "parent_asin", "left").where(F.col("__first").isNull() | F.col("__first").eqNullSafe(at))
+    alone = F.coalesce("__many", F.lit(1)) == 1
+    names = rows.columns
+    if found[1] == 1:
+        return known.select(*names)
+    return known.where(alone).select(*names).unionByName(ingest(known.where(~alone).select(*names)))
+
+
+def products(catalog: DataFrame, in_place: bool = False) -> DataFrame:
+    """The typed product rows; missing text is '', missing numbers are 0, a missing audience is null.
+
+    in_place: see ingest_in_place.
+    """
+    base = (ingest_in_place if in_place else ingest)(catalog).select(
         F.col("listing_id").alias("doc_id"), "parent_asin", F.coalesce("title", F.lit("")).alias("title"), flat("features").alias("features_text"),
         flat("categories").alias("categories_text"), flat("description").alias("description_text"), F.coalesce("store", F.lit("")).alias("store"),
         category_path("categories").alias("category_path"), department(F.try_element_at("details", F.lit("Department"))).alias("gender"), brand_key("store").alias("brand_key"),

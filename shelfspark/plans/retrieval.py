@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bigrams, char_ngrams, stem, surface_tokens, tokens
 from ..operators import catalog as cat
-from ..operators import baseline, fusion, lexical, ngrams, stemming
+from ..operators import baseline, fusion, lexical, ngrams, search, stemming
 from ..session import stage
 from ..sources import table
 from . import sql
 
 
-def _products(s, d, kept: bool = False) -> DataFrame:
-    """The product rows; kept as a table where a query reads them more than once."""
-    rows = cat.products(table(s, d, "catalog"))
-    return stage(rows, "products") if kept else rows
+def _products(s, d, kept: list[str] | None = None) -> DataFrame:
+    """The product rows; the columns to keep, as a table, where a query reads them more than once."""
+    return stage(cat.products(table(s, d, "catalog"), in_place=True).select(*kept), "products") if kept else cat.products(table(s, d, "catalog"))
+
+
+TEXTS = ["doc_id", *lexical.TEXT.values()]
 
 
 def _canonical(rows) -> DataFrame:
@@ -28,12 +30,10 @@ def title_queries(rows: DataFrame) -> DataFrame:
     return rows.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("title").alias("text"))
 
 
-def searched(rows: DataFrame, depth: int) -> DataFrame:
-    """Per-field scores of the query set; the index is built once, as a table."""
+def _asked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The canonical stems, and the terms of the query set."""
     canonical = stage(_canonical(rows), "stems")
-    index = stage(lexical.postings(rows, canonical), "postings")
-    shares, stats = stage(lexical.weighed(index, rows), "shares"), stage(lexical.term_stats(index, rows), "terms")
-    return lexical.bm25_scores(shares, stats, lexical.query_terms(title_queries(rows), canonical), depth)
+    return canonical, lexical.query_terms(title_queries(rows), canonical)
 
 
 def token_counts(s, d):
@@ -81,7 +81,7 @@ def catalog_priors(s, d):
 
 
 def postings_stats(s, d):
-    rows = _products(s, d, True)
+    rows = _products(s, d, TEXTS)
     index = lexical.postings(rows, _canonical(rows))
     docs = lexical.doc_lengths(index).groupBy("field").agg(F.count("*").alias("docs"), F.max("dl").alias("longest"))
     terms = index.groupBy("field").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
@@ -90,23 +90,27 @@ def postings_stats(s, d):
 
 
 def term_idf(s, d):
-    rows = _products(s, d, True)
+    rows = _products(s, d, TEXTS)
     stats = lexical.term_stats(lexical.postings(rows, _canonical(rows)), rows)
     return stats.select("field", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 def term_commonness(s, d):
-    rows = _products(s, d, True)
+    rows = _products(s, d, TEXTS)
     return lexical.commonness(lexical.term_stats(lexical.postings(rows, _canonical(rows)), rows)).select("term", F.round("commonness", 6).alias("commonness"))
 
 
 def bm25_topk(s, d):
-    return searched(_products(s, d, True), 10).select("query_id", "field", "doc_id", F.round("score", 6).alias("score"), "rank")
+    rows = _products(s, d, TEXTS)
+    return search.bm25_lists(rows, *_asked(rows), 10).select("query_id", "field", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _mixture(rows: DataFrame) -> DataFrame:
+    return search.mixture_lists(rows, *_asked(rows), 200, 20)
 
 
 def field_mixture(s, d):
-    mixed = lexical.field_mixture(searched(_products(s, d, True), 200))
-    return lexical.top(mixed, ["query_id"], 20).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return _mixture(_products(s, d, TEXTS)).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def _texts(rows):
@@ -119,13 +123,9 @@ def ngram_norms(s, d):
     return ngrams.doc_norms(index, ngrams.gram_stats(index, texts)).select("doc_id", F.round("norm", 4).alias("norm"))
 
 
-def _dense(rows: DataFrame, depth: int) -> DataFrame:
-    texts = _texts(rows)
-    return ngrams.cosine_scores(stage(ngrams.gram_postings(texts), "grams"), texts, title_queries(rows), depth)
-
-
 def ngram_cosine_topk(s, d):
-    return _dense(_products(s, d, True), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    rows = _products(s, d, ["doc_id", "title"])
+    return search.cosine_lists(_texts(rows), title_queries(rows), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def vector_cosine_topk(s, d):
@@ -133,13 +133,10 @@ def vector_cosine_topk(s, d):
     return ngrams.vector_cosine(v, v.where("vec_id % 50 = 0")).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-def fused(rows: DataFrame) -> DataFrame:
-    mixed = lexical.field_mixture(searched(rows, 200))
-    return fusion.convex_combine(mixed, _dense(rows, 150))
-
-
 def convex_fusion(s, d):
-    return lexical.top(fused(_products(s, d, True)), ["query_id"], 20).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    rows = _products(s, d, TEXTS)
+    fused = search.fused_lists(rows, *_asked(rows), _texts(rows), title_queries(rows), (200, 150), 20)
+    return fused.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def _phrases(s, d) -> DataFrame:
@@ -160,22 +157,22 @@ def span_survivors(s, d):
 
 
 def span_injection(s, d):
-    rows = _products(s, d, True)
+    rows = _products(s, d, [*TEXTS, "search_blob"])
     spans = _span_lists(s, d)
-    candidates = lexical.top(lexical.field_mixture(searched(rows, 200)), ["query_id"], 20).select("query_id", "doc_id")
+    candidates = stage(_mixture(rows).select("query_id", "doc_id"), "candidates")
     return fusion.inject(candidates, fusion.span_survivors(rows, spans), spans)
 
 
 def weak_baseline(s, d):
     """The baseline on the titles of the query listings."""
-    rows = stage(cat.ingest(table(s, d, "catalog")), "listings")
+    rows = cat.ingest_in_place(table(s, d, "catalog"))
     queries = rows.where("listing_id % 50 = 0").select(F.col("listing_id").alias("query_id"), F.coalesce("title", F.lit("")).alias("text"))
     return baseline.search(rows, queries).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def span_selectivity(s, d):
     """How many listings hold each distinct feature phrase of the query listings, and how many bits it is worth."""
-    rows = _products(s, d, True)
+    rows = _products(s, d, ["doc_id", "search_blob"])
     spans = _phrases(s, d).select(F.explode("phrases").alias("span")).distinct().select(F.col("span").alias("query_id"), F.array("span").alias("spans"))
     counts = fusion.span_survivors(rows, spans).groupBy(F.col("query_id").alias("span")).agg(F.count("*").alias("survivors"))
     n = rows.agg(F.count("*").alias("n"))
