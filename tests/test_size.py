@@ -1,10 +1,12 @@
 """What queries keep on disk and in memory, and that they give the same rows however their work is cut."""
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from shelfspark import session
 from shelfspark.functions import text
 from shelfspark.operators import catalog as cat
@@ -36,7 +38,7 @@ def many(catalog):
     words = ["red", "boots", "boot", "hats", "leather", "wool", "blue", "socks", "dress", "dresses", "glass"]
     pick = lambda i, k: " ".join(words[(i * (k + 3) + j * j * k) % len(words)] for j in range(i % 7))
     made = [{"listing_id": i, "parent_asin": f"P{i}", "title": pick(i, 1), "features": [pick(i, 2), pick(i + 1, 5)], "store": pick(i, 4)} for i in range(300)]
-    return cat.products(catalog(made)).repartition(5)
+    return session.stage(cat.products(catalog(made)).repartition(5), "products")
 
 
 def listed(df):
@@ -45,7 +47,7 @@ def listed(df):
 
 
 def test_lists_of_all_queries_are_those_of_the_joins(many):
-    canonical = stemming.canonical_stems(cat.surface_counts(many))
+    canonical = session.stage(stemming.canonical_stems(cat.surface_counts(many)), "stems")
     wanted = lexical.query_terms(many.where("doc_id % 10 = 0").select(F.concat("store", F.lit("-"), "doc_id").alias("query_id"), F.concat_ws(" ", "title", F.lit("unheard")).alias("text")), canonical)
     wanted = wanted.withColumn("weight", F.when(F.col("term") == "red", 0.0).when(F.col("field") == "title", 2.5).otherwise(F.col("weight")))
     index = lexical.postings(many, canonical)
@@ -75,3 +77,10 @@ def test_a_term_counts_up_to_the_largest_frequency(catalog):
     index = lexical.postings(rows, canonical)
     joined = lexical.bm25_scores(lexical.weighed(index, rows), lexical.term_stats(index, rows), wanted, 5)
     assert listed(search.bm25_lists(rows, canonical, wanted, 5)) == listed(joined.select("query_id", "field", "doc_id", "score", "rank"))
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="test data not here")
+def test_tables_that_grow_are_not_broadcast_to_candidates(spark):
+    plan = __spark_entry__.queries()["constraint_outcomes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    products = [line for line in plan.split("\n") if "Join [candidate_asin" in line or "Join [session_id" in line]
+    assert products and all("SortMergeJoin" in line for line in products), products
