@@ -84,3 +84,10 @@ def test_tables_that_grow_are_not_broadcast_to_candidates(spark):
     plan = __spark_entry__.queries()["constraint_outcomes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     products = [line for line in plan.split("\n") if "Join [candidate_asin" in line or "Join [session_id" in line]
     assert products and all("SortMergeJoin" in line for line in products), products
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="test data not here")
+@pytest.mark.parametrize("name", ["bm25_topk", "field_mixture", "ngram_cosine_topk", "convex_fusion", "weak_baseline"])
+def test_hits_are_never_joined_or_shuffled(spark, name):
+    plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1  # the queries are dealt
