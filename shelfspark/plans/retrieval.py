@@ -141,7 +141,7 @@ def convex_fusion(s, d):
 
 def _phrases(s, d) -> DataFrame:
     """(query_id, phrases): the distinct feature phrases of each query listing, in lower case, blank ones left out."""
-    rows = cat.ingest(table(s, d, "catalog")).where("listing_id % 50 = 0")
+    rows = cat.ingest_in_place(table(s, d, "catalog")).where("listing_id % 50 = 0")
     kept = F.filter(F.coalesce("features", F.array().cast("array<string>")), lambda x: F.trim(x) != "")
     return rows.select(F.col("listing_id").alias("query_id"), F.array_distinct(F.transform(kept, F.lower)).alias("phrases"))
 
@@ -158,9 +158,9 @@ def span_survivors(s, d):
 
 def span_injection(s, d):
     rows = _products(s, d, [*TEXTS, "search_blob"])
-    spans = _span_lists(s, d)
+    spans = stage(_span_lists(s, d), "spans")
     candidates = stage(_mixture(rows).select("query_id", "doc_id"), "candidates")
-    return fusion.inject(candidates, fusion.span_survivors(rows, spans), spans)
+    return fusion.inject(candidates, stage(fusion.span_survivors(rows, spans), "survivors"), spans)
 
 
 def weak_baseline(s, d):
